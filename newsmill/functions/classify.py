@@ -25,11 +25,14 @@ def is_ai_topic(title: Column, description: Column) -> Column:
     )
 
 
-def classify_article(title: Column, description: Column) -> dict[str, Column]:
-    """Columns ``is_science, science_field, category_slug, classification_type``."""
-    text = F.lower(F.concat(T.or_empty(title), F.lit(" "), T.or_empty(description)))
+def article_text(title: Column, description: Column) -> Column:
+    return F.lower(F.concat(T.or_empty(title), F.lit(" "), T.or_empty(description)))
+
+
+def classify_article(text: Column) -> dict[str, Column]:
+    """``is_science, science_field, category_slug, classification_type`` of lower-cased text."""
     field = first_matching(text, rules.SCIENCE_FIELD_KEYWORDS)
-    ai = reduce(or_, (T.matches(text, p, ignore_case=False) for p in rules.SCIENCE_AI_PATTERNS))
+    ai = reduce(or_, (T.has_any(text, p) for p in rules.SCIENCE_AI_PATTERNS))
     is_science = field.isNotNull() & ai
     return {
         "is_science": is_science,
@@ -42,13 +45,14 @@ def classify_article(title: Column, description: Column) -> dict[str, Column]:
 
 
 def is_invention(text: Column) -> Column:
-    return T.matches(text, "|".join(rules.INVENTION_TERMS))
+    """Of lower-cased text."""
+    return T.has_any(text, "|".join(rules.INVENTION_TERMS).lower())
 
 
 def sphere_tags(text: Column) -> Column:
-    """Labels of all matching spheres, in table order."""
+    """Labels of all matching spheres of lower-cased text, in table order."""
     return F.array_compact(
-        F.array(*[F.when(T.matches(text, pat), F.lit(label)) for _, label, pat in rules.SPHERES])
+        F.array(*[F.when(T.has_any(text, pat.lower()), F.lit(label)) for _, label, pat in rules.SPHERES])
     )
 
 
@@ -68,9 +72,13 @@ def invention_context(*parts: Column) -> Column:
     return F.concat_ws(". ", *cells)
 
 
-def keyword_argmax(text: Column, table: list[tuple[str, str]], default: str) -> Column:
+def keyword_counts(text: Column, table: list[tuple[str, str]]) -> Column:
+    """Matches per rule in lower-cased text, in table order."""
+    return F.array(*[T.count_matches(text, p) for _, p in table])
+
+
+def keyword_argmax(counts: Column, table: list[tuple[str, str]], default: str) -> Column:
     """Rule with the most matches; the first rule wins ties, ``default`` when none matches."""
-    counts = F.array(*[F.regexp_count(text, F.lit(T.pattern(p))) for _, p in table])
     best = F.array_max(counts)
     name = F.element_at(
         F.array(*[F.lit(n) for n, _ in table]), F.array_position(counts, best).cast("int")
@@ -78,22 +86,12 @@ def keyword_argmax(text: Column, table: list[tuple[str, str]], default: str) ->
     return F.when(best > 0, name).otherwise(F.lit(default))
 
 
-def keyword_best_count(text: Column, table: list[tuple[str, str]]) -> Column:
-    return F.array_max(F.array(*[F.regexp_count(text, F.lit(T.pattern(p))) for _, p in table]))
-
-
-def classify_science(title: Column, summary: Column, source: Column, field: Column) -> Column:
-    """Source override, then field map, then keyword counts."""
+def classify_science(counts: Column, source: Column, field: Column) -> Column:
+    """Source override, then field map, then the counts of ``SCIENCE_RULES``."""
     out = F
     for name, slug in rules.SCIENCE_SOURCE_OVERRIDE.items():
         out = out.when(source == name, F.lit(slug))
     for name, slug in rules.SCIENCE_FIELD_MAP.items():
         if slug:
             out = out.when(field == name, F.lit(slug))
-    text = F.concat(T.or_empty(title), F.lit(" "), T.or_empty(summary))
-    return out.otherwise(keyword_argmax(text, rules.SCIENCE_RULES, rules.SCIENCE_DEFAULT))
-
-
-def classify_tech(title: Column, summary: Column) -> Column:
-    text = F.concat(T.or_empty(title), F.lit(" "), T.or_empty(summary))
-    return keyword_argmax(text, rules.TECH_RULES, rules.TECH_DEFAULT)
+    return out.otherwise(keyword_argmax(counts, rules.SCIENCE_RULES, rules.SCIENCE_DEFAULT))

@@ -44,11 +44,11 @@ def score_youtube(
 
 
 def youtube_relevant(source: Column, title: Column, description: Column) -> Column:
-    text = F.concat(T.or_empty(title), F.lit(" "), T.or_empty(description))
+    text = C.article_text(title, description)
     return (
         source.isin(rules.DEDICATED_AI_CHANNELS)
-        | T.matches(text, rules.YOUTUBE_AI_TERMS)
-        | T.matches(text, rules.AI_TERMS)
+        | T.has_any(text, rules.YOUTUBE_AI_TERMS.lower())
+        | T.has_any(text, rules.AI_TERMS)
     )
 
 
@@ -100,7 +100,7 @@ def article_breakdown(now: Column) -> Column:
     source_ev = F.concat(F.lit("source="), c("source"))
 
     tier1 = c("source").isin(rules.TIER1_SOURCES)
-    tier2 = c("source").isin(rules.TIER2_SOURCES) | T.matches(c("evidence"), rules.CONFERENCE_TERMS, ignore_case=False)
+    tier2 = c("source").isin(rules.TIER2_SOURCES) | T.has_any(c("evidence"), rules.CONFERENCE_TERMS)
     arxiv = (
         c("original_url").rlike(r"arxiv\.org")
         | (c("source") == "arxiv")
@@ -108,7 +108,7 @@ def article_breakdown(now: Column) -> Column:
     )
     artifact = open_artifact(c("repo_found"), links)
     code_ev = F.concat(F.lit("openArtifact=true, repo="), F.coalesce(c("repo"), F.lit("n/a")))
-    ai_domain = T.matches(c("evidence"), rules.AI_TERMS) & T.matches(c("evidence"), rules.SCIENCE_DOMAIN_TERMS)
+    ai_domain = T.has_any(c("evidence_lower"), rules.AI_TERMS) & T.has_any(c("evidence_lower"), rules.SCIENCE_DOMAIN_TERMS)
 
     rank, stars = c("trending_rank"), c("stars")
     rank_ev = F.concat(F.lit("rank="), rank.cast("string"))
@@ -147,7 +147,7 @@ def article_breakdown(now: Column) -> Column:
             ),
             _criterion(tech & (social > 100), "social-traction-100", 30, social_ev),
             _criterion(tech & (social > 30) & (social <= 100), "social-traction-30", 15, social_ev),
-            _criterion(tech & T.matches(c("evidence"), rules.TECH_TREND_TERMS), "tech-trend-bonus", 15, "MCP/Agent/RAG detected"),
+            _criterion(tech & T.has_any(c("evidence_lower"), rules.TECH_TREND_TERMS), "tech-trend-bonus", 15, "MCP/Agent/RAG detected"),
             _criterion(
                 tech & c("license").isin(rules.OPEN_LICENSES), "open-license", 10,
                 F.concat(F.lit("license="), c("license")),
@@ -164,9 +164,9 @@ def score_articles(df, now: Column):
             "evidence": article_evidence(
                 F.col("title"), F.col("page_text"), F.col("repo_description"), F.col("repo_topics")
             ),
-            "invention_text": context,
+            "invention_text": F.lower(context),
         }
-    ).withColumn("invention", C.is_invention(F.col("invention_text")))
+    ).withColumn("evidence_lower", F.lower("evidence")).withColumn("invention", C.is_invention(F.col("invention_text")))
     scored = scored.withColumn("breakdown", article_breakdown(now))
     reroute = F.col("invention") & (F.col("section") != "invention-tools")
     return scored.withColumns(
@@ -175,4 +175,4 @@ def score_articles(df, now: Column):
             "sphere_tags": F.when(reroute, C.sphere_tags(F.col("invention_text"))).otherwise(F.col("sphere_tags")),
             "section": F.when(F.col("invention"), F.lit("invention-tools")).otherwise(F.col("section")),
         }
-    ).drop("invention_text", "evidence")
+    ).drop("invention_text", "evidence", "evidence_lower")

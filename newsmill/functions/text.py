@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
@@ -29,8 +30,54 @@ def any_contains(text: Column, keywords: Iterable[str]) -> Column:
     return reduce(or_, (text.contains(k) for k in keywords))
 
 
-def matches(text: Column, pat: str, ignore_case: bool = True) -> Column:
-    return text.rlike(pattern(pat, ignore_case))
+def _alternatives(pat: str) -> list[str]:
+    """Alternatives of a pattern; one group around all of them is opened."""
+    parts, depth, start = [], 0, 0
+    for i, ch in enumerate(pat):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            parts.append(pat[start:i])
+            start = i + 1
+    parts.append(pat[start:])
+    if len(parts) == 1 and pat.startswith("(") and not pat.startswith("(?") and pat.endswith(")"):
+        return _alternatives(pat[1:-1])
+    return [a for p in parts for a in (_alternatives(p) if len(parts) > 1 and p.startswith("(") else [p])]
+
+
+def _needle(alternative: str) -> str:
+    """Longest piece of plain text every match of the alternative contains."""
+    plain = re.sub(r"\[[^\]]*\][*?+]?", "\0", alternative)
+    plain = re.sub(r"\\([.])", r"\1", plain)
+    while "(" in plain:
+        plain = re.sub(r"\([^()]*\)[*?+]?", "\0", plain)
+    plain = re.sub(r"\.\*|.[?*]", "\0", plain)
+    return max(plain.split("\0"), key=len)
+
+
+def has_any(text: Column, pat: str) -> Column:
+    """True when ``pat`` occurs in ``text``.
+
+    A regular expression over many alternatives is slow on whole texts, so each
+    alternative is first looked for by a plain substring it must contain; the
+    expression itself only runs on rows that have one.
+    """
+    bare = pat.replace(r"\b", "")
+    alternatives = _alternatives(bare)
+    if bare != pat:
+        return any_contains(text, dict.fromkeys(map(_needle, alternatives))) & text.rlike(pattern(pat, False))
+    tests = [
+        text.contains(n) if n == a else text.contains(n) & text.rlike(pattern(a, False))
+        for a, n in ((a, _needle(a)) for a in alternatives)
+    ]
+    return reduce(or_, tests)
+
+
+def count_matches(text: Column, pat: str) -> Column:
+    """Number of matches in lower-cased ``text``; 0 without running the pattern where possible."""
+    p = pat.lower()
+    needles = dict.fromkeys(map(_needle, _alternatives(p.replace(r"\b", ""))))
+    found = F.regexp_count(text, F.lit(pattern(p, False)))
+    return F.when(any_contains(text, needles), found).otherwise(F.lit(0))
 
 
 def trim_ws(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsmill import rules
 from newsmill.functions.text import trim_ws
@@ -99,18 +99,24 @@ def _ipv4_value(host: Column) -> Column:
     return F.when(ok, upper + last)
 
 
-def url_safety(url: Column) -> Column:
-    """NULL when a URL may be fetched, else the reason why not."""
-    u = trim_ws(url)
-    scheme = F.lower(F.regexp_extract(u, r"(?i)^([a-z][a-z0-9+.-]*:)", 1))
+def with_url_safety(df: DataFrame, url: str, name: str) -> DataFrame:
+    """Add ``name``: NULL when a URL may be fetched, else the reason why not."""
+    steps = df.withColumn("_u", trim_ws(F.col(url)))
+    u = F.col("_u")
     authority = F.regexp_extract(u, r"(?i)^[a-z][a-z0-9+.-]*:[/\\]*([^/?#\\]*)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
+    steps = steps.withColumns(
+        {
+            "_scheme": F.lower(F.regexp_extract(u, r"(?i)^([a-z][a-z0-9+.-]*:)", 1)),
+            "_host": F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", "")),
+        }
+    )
+    host, scheme = F.col("_host"), F.col("_scheme")
     is_v6 = host.startswith("[")
     numeric = ~is_v6 & F.regexp_replace(host, r"\.$", "").rlike(r"(^|\.)(\d+|0[xX][0-9a-fA-F]*)$")
-    value = _ipv4_value(host)
+    steps = steps.withColumn("_ip", F.when(numeric, _ipv4_value(host))).withColumn("_numeric", numeric)
+    value, numeric = F.col("_ip"), F.col("_numeric")
     a, b = F.floor(value / 16777216), F.floor(value / 65536) % 256
     dotted = F.concat_ws(".", a, b, F.floor(value / 256) % 256, value % 256)
-    shown = F.when(numeric, dotted).otherwise(host)
     private_v4 = (
         a.isin(0, 10, 127)
         | ((a == 172) & b.between(16, 31))
@@ -130,9 +136,13 @@ def url_safety(url: Column) -> Column:
         | F.coalesce(numeric & private_v4, F.lit(False))
     )
     bad_host = (host == "") | host.rlike(r"[\s<>^|%]") | (numeric & value.isNull())
-    return (
+    reason = (
         F.when(u.isNull() | (scheme == ""), F.lit("invalid URL"))
         .when(~scheme.isin("http:", "https:"), F.concat(F.lit("scheme not allowed: "), scheme))
         .when(bad_host, F.lit("invalid URL"))
-        .when(private, F.concat(F.lit("private/internal host blocked: "), shown))
+        .when(
+            private,
+            F.concat(F.lit("private/internal host blocked: "), F.when(numeric, dotted).otherwise(host)),
+        )
     )
+    return steps.withColumn(name, reason).drop("_u", "_scheme", "_host", "_ip", "_numeric")

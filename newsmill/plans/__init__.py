@@ -4,6 +4,7 @@ from importlib import import_module
 
 _MODULES = [
     "reader_queries",
+    "text_queries",
 ]
 
 

@@ -74,7 +74,7 @@ def news(spark: SparkSession, d: str) -> DataFrame:
     first_line = F.substring(F.trim(ascii_only(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))), 1, 500)
     plain = ascii_only(F.col("text"))
     status = _cases(i % 7, {0: "pending", 1: "summarized", 2: "translated", 3: "rejected"}, "published")
-    base = i * 37 % 43200
+    base = i * 4337 % 43200
     category_id = i % 8 + 1
     science = i % 3 == 1
     return docs.select(
@@ -363,10 +363,10 @@ DUCK: dict[str, str] = {
  d.doc_id % 3 = 1 as is_science,
  case when d.doc_id % 3 = 1 then {_FIELDS}[d.doc_id % 6 + 1] end as science_field,
  case when d.doc_id % 3 = 1 then {_TYPES}[d.doc_id % 4 + 1] end as classification_type,
- {_START} + interval '1' minute * (d.doc_id * 37 % 43200) as published_at,
- {_START} + interval '1' minute * (d.doc_id * 37 % 43200 + 30) as created_at,
- {_START} + interval '1' minute * (d.doc_id * 37 % 43200 + 90) as updated_at,
- case when d.doc_id % 4 <> 0 then {_START} + interval '1' minute * (d.doc_id * 37 % 43200 + 60) end as platform_published_at,
+ {_START} + interval '1' minute * (d.doc_id * 4337 % 43200) as published_at,
+ {_START} + interval '1' minute * (d.doc_id * 4337 % 43200 + 30) as created_at,
+ {_START} + interval '1' minute * (d.doc_id * 4337 % 43200 + 90) as updated_at,
+ case when d.doc_id % 4 <> 0 then {_START} + interval '1' minute * (d.doc_id * 4337 % 43200 + 60) end as platform_published_at,
  case when d.doc_id % 6 <> 5 then '{{"decision":"' || case when d.doc_id % 2 = 0 then 'rejected-daily-cap' else 'rejected-low-score' end
    || '","hnPoints":' || cast(d.doc_id % 50 as varchar) || '}}' end as metrics,
  case when d.doc_id % 3 = 2 then [{_SPHERE_LABELS}[d.doc_id % 12 + 1], {_SPHERE_LABELS}[d.doc_id % 5 + 1]] else []::varchar[] end as sphere_tags,

@@ -60,12 +60,15 @@ _FRESH = " union all ".join(
 def freshness_window(spark, d):
     rows = L.news_filter(X.news(spark, d), X.now()).select(L.event_time().alias("t"))
     now = X.now()
-    labels = F.array_compact(F.array(*[
-        F.when(F.col("t") >= L.freshness_from(k, now), F.lit(k)) for k in rules.FRESHNESS_HOURS
-    ], F.lit("all")))
-    return rows.select(F.explode(labels).alias("freshness"), "t").groupBy("freshness").agg(
-        F.count("*").alias("n"), F.min("t").alias("oldest")
+    bounds = {**{k: L.freshness_from(k, now) for k in rules.FRESHNESS_HOURS}, "all": X.ntz("0001-01-01 00:00:00")}
+    one = rows.agg(
+        F.array(*[
+            F.struct(F.lit(k).alias("freshness"), F.count_if(F.col("t") >= b).alias("n"),
+                     F.min(F.when(F.col("t") >= b, F.col("t"))).alias("oldest"))
+            for k, b in bounds.items()
+        ]).alias("windows")
     )
+    return one.select(F.inline("windows"))
 
 
 @query("readable", f"select id, title from news_fx where {_READABLE}")
