@@ -24,20 +24,24 @@ def build_session(app: str = "newsmill", master: str | None = None, partitions:
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and intermediate tables that all executors reach.
 
-    Executors may be lost at any time, so the data goes to the checkpoint
-    folder, never to executor-local blocks.  Only where no folder is configured
-    (local runs and tests) a temporary one is set.
+    It is the one ``spark.checkpoint.dir`` names.  Only a local session that
+    names none gets a folder of its own; a cluster session must name one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not sc.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="newsmill-ckpt-")
-        sc.setCheckpointDir(shared)
+            named = tempfile.mkdtemp(prefix="newsmill-shared-")
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, never executor-local blocks."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
