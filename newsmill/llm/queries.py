@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from newsmill.llm.lines import OP4_SQL, op4_line_dedup
 from newsmill.llm.quality import op10_quality_rules
 from newsmill.llm.simhash import op1_simhash
+from newsmill.llm.warc import OP3_SQL, op3_warc
 
-QUERIES = {"op1_simhash": op1_simhash, "op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op3_warc": op3_warc, "op4_line_dedup": op4_line_dedup, "op10_quality_rules": op10_quality_rules}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_line_dedup": OP4_SQL}
