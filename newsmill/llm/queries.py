@@ -5,10 +5,11 @@ from __future__ import annotations
 from newsmill.llm.bpe import op7_bpe
 from newsmill.llm.lines import OP4_SQL, op4_line_dedup
 from newsmill.llm.packing import op2_packing
+from newsmill.llm.pii import op8_pii
 from newsmill.llm.quality import op10_quality_rules
 from newsmill.llm.simhash import op1_simhash
 from newsmill.llm.topk import OP9_SQL, op9_top_products
 from newsmill.llm.warc import OP3_SQL, op3_warc
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_line_dedup": op4_line_dedup, "op7_bpe": op7_bpe, "op9_top_products": op9_top_products, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_line_dedup": op4_line_dedup, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op9_top_products": op9_top_products, "op10_quality_rules": op10_quality_rules}
 ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_top_products": OP9_SQL}
