@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newsmill.llm.common import BLANKS, ascii_lower, id_and_text, table
+from newsmill.llm.common import BLANKS, ascii_lower, table
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·"
@@ -94,25 +94,27 @@ def _repeat_words(d: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long")))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, carry: str | None = None) -> DataFrame:
     """(doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_failed_lines, lost_chars, clean_text): one row per input row.
 
     A null text counts as empty: no words, base_failed, not kept.  clean_text has
     the lines that pass, joined by \\n.  Ids may be null or repeat; each row is
-    judged alone.  Other columns are not read.
+    judged alone.  Other columns are not read, but the one named ``carry`` is
+    returned as well.
     """
-    text = F.coalesce("text", F.lit(""))
-    d = id_and_text(docs).select("doc_id", text.alias("text"))
+    also = [carry] if carry else []
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *also)
     d = d.select(
-        "doc_id", "text",
+        "doc_id", "text", *also,
         F.filter(F.split("text", _BLANK_RUN, -1), lambda w: w != "").alias("words"),
         F.split("text", "\n", -1).alias("lines"),
     )
     d = _repeat_words(d)
     spoken = F.filter("lines", lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     d = d.select(
-        "doc_id", "text", "lines", "n_repeat_words",
+        "doc_id", "text", *also, "lines", "n_repeat_words",
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
@@ -120,7 +122,7 @@ def judge(docs: DataFrame) -> DataFrame:
         F.filter("lines", lambda x: ~line_fails(x)).alias("passed"),
     )
     d = d.select(
-        "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_repeat_words",
+        "doc_id", "text", *also, "n_words", "word_chars", "n_symbols", "n_repeat_words",
         (F.size("spoken") - F.size(F.array_distinct("spoken"))).cast("long").alias("n_dup_lines"),
         (F.size("lines") - F.size("passed")).cast("long").alias("n_failed_lines"),
         F.array_join("passed", "\n").alias("clean_text"),
