@@ -65,9 +65,9 @@ def bigrams(words: list[bytes]) -> Counter:
     return Counter(zip(words, words[1:]))
 
 
-def size_bounds(n: int, threshold: float) -> tuple[float, float]:
-    """Between which sizes a text must lie to reach ``threshold`` with one of ``n`` bigrams."""
-    return n * threshold / (2 - threshold), n * (2 - threshold) / threshold
+def sizes_allow(m: int, n: int, threshold: float) -> bool:
+    """Whether texts of m and n bigrams can reach ``threshold``, all of the smaller one's being shared."""
+    return 2 * min(m, n) >= threshold * (m + n)
 
 
 def units(text: str) -> Iterator[tuple[str, int, bytes]]:
@@ -103,7 +103,7 @@ def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
     for name, text in (TEMPLATES if templates is None else templates).items():
         grams = bigrams(plain_words(text.encode()))
         if grams:
-            sized.append((*size_bounds(sum(grams.values()), threshold), sum(grams.values()), name, grams))
+            sized.append((grams.total(), name, grams))
     known = frozenset().union(*(g for *_, g in sized))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +113,11 @@ def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
                 for kind, line, unit in units(text.as_py() or ""):
                     words = plain_words(unit)
                     n = len(words) - 1
-                    may = [t for t in sized if t[0] <= n <= t[1]]
+                    may = [t for t in sized if sizes_allow(n, t[0], threshold)] if n > 0 else []
                     if not may or known.isdisjoint(zip(words, words[1:])):
                         continue
                     grams = bigrams(words)
-                    for _, _, size, name, template in may:
+                    for size, name, template in may:
                         shared = (grams & template).total()
                         if 2 * shared >= threshold * (n + size):
                             out.append((doc_id, name, kind, line, shared, n, size))
