@@ -30,28 +30,70 @@ def any_contains(text: Column, keywords: Iterable[str]) -> Column:
     return reduce(or_, (text.contains(k) for k in keywords))
 
 
+def _marks(pat: str) -> list[tuple[int, str, int]]:
+    """(position, character, depth) of the characters outside of escapes and character classes."""
+    out, depth, i = [], 0, 0
+    while i < len(pat):
+        ch = pat[i]
+        if ch == "\\":
+            i = pat.index("}", i) if pat[i + 1 : i + 3] in ("p{", "P{", "x{") else i + 1
+        elif ch == "[":
+            i += 2 if pat[i + 1 : i + 2] == "^" else 1
+            while pat[i] != "]":
+                i += (pat.index("}", i) - i + 1 if pat[i + 1 : i + 3] in ("p{", "P{", "x{") else 2) if pat[i] == "\\" else 1
+        else:
+            depth -= ch == ")"
+            out.append((i, ch, depth))
+            depth += ch == "("
+        i += 1
+    return out
+
+
 def _alternatives(pat: str) -> list[str]:
-    """Alternatives of a pattern; one group around all of them is opened."""
-    parts, depth, start = [], 0, 0
-    for i, ch in enumerate(pat):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "|" and depth == 0:
-            parts.append(pat[start:i])
-            start = i + 1
-    parts.append(pat[start:])
-    if len(parts) == 1 and pat.startswith("(") and not pat.startswith("(?") and pat.endswith(")"):
+    """Alternatives of a pattern; a group around all of one is opened."""
+    marks = _marks(pat)
+    cuts = [i for i, ch, depth in marks if ch == "|" and depth == 0]
+    parts = [pat[a + 1 : b] for a, b in zip([-1, *cuts], [*cuts, len(pat)])]
+    if len(parts) > 1:
+        return [a for part in parts for a in _alternatives(part)]
+    closes = [i for i, ch, depth in marks if ch == ")" and depth == 0]
+    if pat.startswith("(") and not pat.startswith("(?") and closes[:1] == [len(pat) - 1]:
         return _alternatives(pat[1:-1])
-    return [a for p in parts for a in (_alternatives(p) if len(parts) > 1 and p.startswith("(") else [p])]
+    return [pat]
 
 
 def _needle(alternative: str) -> str:
-    """Longest piece of plain text every match of the alternative contains."""
-    plain = re.sub(r"\[[^\]]*\][*?+]?", "\0", alternative)
-    plain = re.sub(r"\\([.])", r"\1", plain)
-    while "(" in plain:
-        plain = re.sub(r"\([^()]*\)[*?+]?", "\0", plain)
-    plain = re.sub(r"\.\*|.[?*]", "\0", plain)
-    return max(plain.split("\0"), key=len)
+    """A piece of plain text that every match of the alternative contains; empty where none can be told."""
+    runs, run, i, n = [], "", 0, len(alternative)
+    closing = {i: next(j for j, c, d in _marks(alternative) if c == ")" and d == depth and j > i)
+               for i, ch, depth in _marks(alternative) if ch == "("}
+    while i < n:
+        ch, after = alternative[i], i + 1
+        plain = ch
+        if ch == "\\":
+            plain = alternative[i + 1] if not alternative[i + 1].isalnum() else ""
+            after = i + 2
+            if alternative[i + 1 : i + 3] in ("p{", "P{", "x{"):
+                after = alternative.index("}", i) + 1
+        elif ch == "[":
+            later = [j for j, _, _ in _marks(alternative) if j > i]
+            plain, after = "", later[0] if later else n
+        elif ch == "(":
+            plain, after = "", closing[i] + 1
+        elif ch in ".^$|":
+            plain = ""
+        repeat = re.match(r"[*?]|\+|\{[^}]*\}", alternative[after:])
+        if repeat:
+            after += repeat.end() + (alternative[after + repeat.end() : after + repeat.end() + 1] in ("?", "+"))
+            runs += [run + plain if repeat[0] == "+" else run]
+            run = ""
+        elif plain:
+            run += plain
+        else:
+            runs.append(run)
+            run = ""
+        i = after
+    return max([*runs, run], key=len)
 
 
 def has_any(text: Column, pat: str) -> Column:

@@ -25,7 +25,7 @@ def freshness_from(key: str | None, now: Column) -> Column | None:
     return None if n is None else now - hours(n)
 
 
-def query_lexemes(query: str, stop_words: Sequence[str] = rules.TITLE_STOP_WORDS) -> list[str] | None:
+def query_lexemes(query: str, stop_words: Sequence[str] = rules.SEARCH_STOP_WORDS) -> list[str] | None:
     """Lexemes of a search string; None when the string is blank (filter skipped)."""
     if not query.strip():
         return None
@@ -40,7 +40,7 @@ def search_text() -> Column:
     )
 
 
-def fts_match(query: str, stop_words: Sequence[str] = rules.TITLE_STOP_WORDS) -> Column:
+def fts_match(query: str, stop_words: Sequence[str] = rules.SEARCH_STOP_WORDS) -> Column:
     """True when every lexeme of the query is a token of the searched text.
 
     A substring test runs first, so most rows never reach the token test.
@@ -87,13 +87,20 @@ def news_filter(
 
 
 def with_category(news: DataFrame, categories: DataFrame) -> DataFrame:
-    """Adds ``category_name``; the category table is a fixed small dimension."""
+    """Adds ``category_name``; the category table is a constant of eleven rows, so it is broadcast."""
     names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    return news.join(names, "category_id", "left")
+    return news.join(F.broadcast(names), "category_id", "left")
 
 
-def news_page(filtered: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page, newest first; sorting keeps only offset+limit rows per task."""
+def news_page(filtered: DataFrame, limit: int = 50, offset: int = 0, after: tuple[Column, int] | None = None) -> DataFrame:
+    """One page, newest first; sorting keeps only offset+limit rows per task.
+
+    ``after`` is the (event time, id) of the last row seen: with it, deep pages
+    cost no more than the first.
+    """
+    if after is not None:
+        seen_time, seen_id = after
+        filtered = filtered.filter((event_time() < seen_time) | ((event_time() == seen_time) & (F.col("id") < seen_id)))
     return filtered.orderBy(event_time().desc(), F.col("id").desc()).offset(offset).limit(limit)
 
 
@@ -107,10 +114,13 @@ def readable(news: DataFrame) -> DataFrame:
     return news.filter((F.col("status") == "published") & F.col("summary").isNotNull() & (F.col("summary") != ""))
 
 
-def catalog(tools: DataFrame, spheres: Sequence[str] = (), limit: int = 200) -> DataFrame:
-    """First ``limit`` tools by name; the sphere filter applies after the limit."""
-    first = tools.orderBy("name", "id").limit(limit)
-    return with_any_sphere(first, spheres)
+def catalog(tools: DataFrame, spheres: Sequence[str] = (), limit: int | None = None, after: tuple[str, int] | None = None) -> DataFrame:
+    """Tools with any of the spheres by name and id: all, or a page of ``limit`` after the (name, id) of the last one seen."""
+    found = with_any_sphere(tools, spheres)
+    if after is not None:
+        found = found.filter(F.struct("name", "id") > F.struct(F.lit(after[0]), F.lit(after[1]).cast("bigint")))
+    found = found.orderBy("name", "id")
+    return found if limit is None else found.limit(limit)
 
 
 def with_any_sphere(tools: DataFrame, spheres: Sequence[str]) -> DataFrame:

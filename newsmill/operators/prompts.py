@@ -9,34 +9,46 @@ from newsmill.functions import classify as C, text as T
 
 
 def prompt_requests(queue: DataFrame, max_tokens: int = rules.PROMPT_TOKENS) -> DataFrame:
-    """One prompt per queued article, the article body fenced as untrusted."""
-    body = T.clip(T.or_empty(F.col("original_content")), max_tokens * rules.CHARS_PER_TOKEN)
+    """Prompts of every queued article, its body fenced as untrusted, in as many numbered chunks as it needs."""
+    size = max_tokens * rules.CHARS_PER_TOKEN
+    body = T.or_empty(F.col("original_content"))
+    n = F.greatest(F.lit(1), F.ceil(F.length(body) / size)).cast("int")
+    chunks = queue.select(
+        "id", "title", "source", body.alias("body"), n.alias("n_chunks"), F.explode(F.sequence(F.lit(1), n)).alias("chunk_no")
+    )
+    head, begin, end = rules.PROMPT_FRAME
     prompt = F.concat(
-        F.lit("Название: "), F.col("title"), F.lit("\nИсточник: "), F.col("source"),
-        F.lit("\n\n--- BEGIN ARTICLE (UNTRUSTED) ---\n"), body, F.lit("\n--- END ARTICLE ---"),
+        F.format_string(head, F.col("title"), F.col("source")), F.lit(begin),
+        F.substr("body", (F.col("chunk_no") - 1) * size + 1, F.lit(size)), F.lit(end),
     )
-    return queue.select("id", prompt.alias("prompt"))
-
-
-def parse_response(raw: Column) -> dict[str, Column]:
-    """``title_ru``, ``summary`` and ``reason`` (NULL when usable) of a raw answer."""
-    plain = F.regexp_replace(raw, r"```json\s*|```\s*", "")
-    both = F.regexp_extract(plain, r'(?s)\{.*"title_ru".*"summary".*\}', 0)
-    any_object = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
-    found = F.when(both != "", both).otherwise(any_object)
-    parsed = F.try_parse_json(found)
-    title = F.try_variant_get(parsed, "$.title_ru", "string")
-    summary = F.try_variant_get(parsed, "$.summary", "string")
-    is_text = F.schema_of_variant(parsed)
-    typed = is_text.rlike(r"title_ru: STRING") & is_text.rlike(r"summary: STRING")
-    title, summary = T.trim_ws(title), T.trim_ws(summary)
+    return chunks.select("id", "chunk_no", "n_chunks", prompt.alias("prompt"))
+
+
+def with_parsed_response(rows: DataFrame, raw: str) -> DataFrame:
+    """Adds ``title_ru``, ``summary`` and ``reason`` (NULL when usable) of a raw answer.
+
+    The object is found and parsed once, in a column of its own that later ones
+    use more than once, so it isn't repeated for each of them.
+    """
+    plain = F.regexp_replace(F.col(raw), r"```json\s*|```\s*", "")
+    d = rows.withColumn("_plain", plain)
+    both = F.regexp_extract("_plain", r'(?s)\{.*"title_ru".*"summary".*\}', 0)
+    d = d.withColumn("_found", F.coalesce(F.nullif(both, F.lit("")), F.regexp_extract("_plain", r"(?s)\{.*\}", 0)))
+    d = d.withColumn("_parsed", F.try_parse_json("_found"))
+
+    def text(field: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get("_parsed", f"$.{field}", "variant"))
+        return F.when(kind == "STRING", T.trim_ws(F.try_variant_get("_parsed", f"$.{field}", "string")))
+
+    d = d.withColumns({"title_ru": text("title_ru"), "summary": text("summary")})
+    title, summary = F.col("title_ru"), F.col("summary")
     reason = (
-        F.when(found == "", F.lit("no JSON object"))
-        .when(parsed.isNull(), F.lit("invalid JSON"))
-        .when(~F.coalesce(typed, F.lit(False)) | T.is_blank(title) | T.is_blank(summary), F.lit("missing fields"))
+        F.when(F.col("_found") == "", F.lit("no JSON object"))
+        .when(F.col("_parsed").isNull(), F.lit("invalid JSON"))
+        .when(T.is_blank(title) | T.is_blank(summary), F.lit("missing fields"))
         .when(T.is_garbage(title) | T.is_garbage(summary), F.lit("unusable text"))
     )
-    return {"title_ru": title, "summary": summary, "reason": reason}
+    return d.withColumn("reason", reason).drop("_plain", "_found", "_parsed")
 
 
 def without_artifact_lines(text: Column) -> Column:
@@ -61,7 +73,7 @@ def save_summary(news: DataFrame, responses: DataFrame, now: Column) -> DataFram
     d = d.withColumn("_invention", hit & C.is_invention(F.col("_context")))
     return d.withColumns(
         {
-            "original_title": F.when(hit, F.coalesce("original_title", "title")).otherwise(F.col("original_title")),
+            "original_title": F.when(hit, F.coalesce(F.nullif("original_title", F.lit("")), "title")).otherwise(F.col("original_title")),
             "title": F.coalesce("title_ru", "title"),
             "summary": F.coalesce("_summary", "summary"),
             "status": F.when(hit, F.lit("summarized")).otherwise(F.col("status")),

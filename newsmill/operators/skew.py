@@ -1,26 +1,9 @@
-"""Joins and ordered look-backs that stay balanced when one key is very frequent."""
+"""Ordered look-backs that stay balanced when one key is very frequent."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 16
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Equi-join of a fact with a table that is unique on the key.
-
-    The fact's rows of one key are spread over ``salts`` tasks by a hash of
-    their other columns; the unique side is repeated once per salt.  ``how`` is
-    inner, left, left_semi or left_anti.
-    """
-    keys = [on] if isinstance(on, str) else list(on)
-    spread = [c for c in big.columns if c not in keys] or keys
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
 def bucketed_previous(df: DataFrame, key: str, order: list[str], bucket: Column, value: str, name: str) -> DataFrame:
     """``lag(value)`` per key without sending a whole key to one task.
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsmill import rules
-from newsmill.functions.text import ascii_only
 
 NOW_TEXT = "2024-01-31 00:00:00"
 START_TEXT = "2024-01-01 00:00:00"
@@ -71,8 +70,8 @@ def news(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     injected = i % 5 == 0
     phrase = _div(i, 5) % 8
-    first_line = F.substring(F.trim(ascii_only(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))), 1, 500)
-    plain = ascii_only(F.col("text"))
+    first_line = F.trim(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))
+    plain = F.col("text")
     status = _cases(i % 7, {0: "pending", 1: "summarized", 2: "translated", 3: "rejected"}, "published")
     base = i * 4337 % 43200
     category_id = i % 8 + 1
@@ -342,8 +341,7 @@ DUCK: dict[str, str] = {
     "categories_fx": "select * from (values "
     + ", ".join(f"({k + 1}, '{n}', '{s}', '{t}')" for k, (n, s, t) in enumerate(rules.CATEGORIES))
     + ") t(id, name, slug, type)",
-    "doc_lines_fx": r"""select *, substr(trim(regexp_replace(split_part(text, chr(10), 1), '[^\x20-\x7E]', '', 'g')), 1, 500) as first_line,
- regexp_replace(text, '[^\x20-\x7E]', '', 'g') as plain from documents""",
+    "doc_lines_fx": "select *, trim(split_part(text, chr(10), 1)) as first_line, text as plain from documents",
     "news_fx": f"""select d.doc_id as id,
  case when d.doc_id % 5 = 0 then {_PHRASE_TITLES}[d.doc_id // 5 % 8 + 1] else first_line end as title,
  case when d.doc_id % 5 = 0 then {_PHRASE_DESCS}[d.doc_id // 5 % 8 + 1] else plain end as description,

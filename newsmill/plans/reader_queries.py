@@ -35,10 +35,10 @@ def news_list(spark, d):
 
 @query("news_page", f"""select id, title, category_name, event_time from (
 select n.id, title, c.name as category_name, {_EVENT} as event_time from news_fx n left join categories_fx c on c.id = n.category_id
-where {_PUB} and {_EVENT} >= {_NOW} - interval 168 hour) t order by event_time desc, id desc limit 20 offset 20""")
+where {_PUB} and {_EVENT} >= {_NOW} - interval 720 hour) t order by event_time desc, id desc limit 20""")
 def news_page(spark, d):
-    rows = L.news_filter(X.news(spark, d), X.now(), freshness="week")
-    page = L.news_page(rows.select("id", "title", "category_id", "platform_published_at", "updated_at"), 20, 20)
+    rows = L.news_filter(X.news(spark, d), X.now(), freshness="month")
+    page = L.news_page(rows.select("id", "title", "category_id", "platform_published_at", "updated_at"), 20)
     return L.with_category(page, categories(spark)).select(
         "id", "title", "category_name", L.event_time().alias("event_time")
     )
@@ -122,13 +122,14 @@ def unread(spark, d):
 
 
 _SECTION_COUNTS = ", ".join(
-    f"count(*) filter (where n.section = '{s}' and r.news_id is null) as unread_{s.replace('-', '_')}" for s in rules.SECTIONS
+    f"(select count(*) from n where section = '{s}') - count(k.id) filter (where k.section = '{s}') as unread_{s.replace('-', '_')}"
+    for s in rules.SECTIONS
 )
 
 
-@query("unread_counts", f"""select u.id as user_id, count(*) filter (where r.news_id is null) as unread_total, {_SECTION_COUNTS}
-from users_fx u, (select id, section from news_fx where {_READABLE}) n
-left join read_status_fx r on r.user_id = u.id and r.news_id = n.id and r.read group by 1""")
+@query("unread_counts", f"""with n as (select id, section from news_fx where {_READABLE}),
+k as (select r.user_id, n.id, n.section from read_status_fx r join n on n.id = r.news_id where r.read)
+select u.id as user_id, (select count(*) from n) - count(k.id) as unread_total, {_SECTION_COUNTS} from users_fx u left join k on k.user_id = u.id group by u.id""")
 def unread_counts(spark, d):
     return R.unread_counts(X.users(spark, d), X.news(spark, d), X.read_status(spark, d))
 
@@ -218,10 +219,9 @@ def read_count(spark, d):
     return R.count_per_user(X.read_status(spark, d).filter("read"), "read_articles")
 
 
-@query("catalog", """with first_tools as (select * from tools_fx order by name, id limit 200)
-select id, name, slug, array_to_string(spheres, ',') as spheres from first_tools where list_has_any(spheres, ['chemistry', 'energy'])""")
+@query("catalog", """select id, name, slug, array_to_string(spheres, ',') as spheres from tools_fx where list_has_any(spheres, ['chemistry', 'energy'])""")
 def catalog(spark, d):
-    rows = L.catalog(X.tools(spark, d), ["chemistry", "energy"], 200)
+    rows = L.catalog(X.tools(spark, d), ["chemistry", "energy"])
     return rows.select("id", "name", "slug", F.array_join("spheres", ",").alias("spheres"))
 
 
@@ -236,15 +236,14 @@ def distinct_spheres(spark, d):
 
 
 @query("mixed_feed", f"""with n as (select id, title, original_url, updated_at, {_EVENT} as et from news_fx where {_PUB} and section = 'invention-tools'
- and {_EVENT} >= {_NOW} - interval 720 hour order by et desc, id desc limit 300),
-t as (select id, name, created_at, spheres from tools_fx order by name, id limit 300)
+ and {_EVENT} >= {_NOW} - interval 720 hour),
+t as (select id, name, created_at, spheres from tools_fx)
 select 'news' as kind, id, updated_at as date, title, original_url from n union all
 select 'tool', id, created_at, name, null from t where list_has_any(spheres, ['materials']) and created_at >= {_NOW} - interval 720 hour""")
 def mixed_feed(spark, d):
     rows = L.news_filter(X.news(spark, d), X.now(), section="invention-tools", freshness="month")
-    articles = L.news_page(rows, 300)
-    cards = L.catalog_sorted(L.catalog(X.tools(spark, d), ["materials"], 300), X.now(), "month")
-    return L.mixed_feed(articles, cards)
+    cards = L.catalog_sorted(L.with_any_sphere(X.tools(spark, d), ["materials"]), X.now(), "month")
+    return L.mixed_feed(rows, cards)
 
 
 @query("recent_logs", "select id, source_id, status, created_at from parsing_logs_fx order by created_at desc, id desc limit 20")

@@ -19,14 +19,14 @@ def normalize_title(spark, d):
 
 
 _A = r"lower(trim(regexp_replace(title, '[^\x20-\x7E]', '', 'g')))"
-_B = "lower(trim(coalesce(original_title, '')))"
+_B = r"lower(trim(regexp_replace(coalesce(original_title, ''), '[^\x20-\x7E]', '', 'g')))"
 
 
 @query("title_similarity", f"""select id, case when greatest(length({_A}), length({_B})) = 0 then 1.0
  else round(1 - levenshtein({_A}, {_B}) / greatest(length({_A}), length({_B})), 6) end as similarity from news_fx""")
 def title_similarity(spark, d):
     a = F.lower(F.trim(T.ascii_only(c("title"))))
-    b = F.lower(F.trim(T.or_empty(c("original_title"))))
+    b = F.lower(F.trim(T.ascii_only(T.or_empty(c("original_title")))))
     return X.news(spark, d).select("id", F.round(T.title_similarity(a, b), 6).alias("similarity"))
 
 
@@ -242,36 +242,38 @@ def clip(spark, d):
         "id", T.clip(c("description"), 500).alias("short_description"), T.clip(c("description"), 2000).alias("transcript_description"))
 
 
-@query("llm_requests", """select id, 'Название: ' || title || chr(10) || 'Источник: ' || source || chr(10) || chr(10) || '--- BEGIN ARTICLE (UNTRUSTED) ---' || chr(10)
- || substr(coalesce(original_content, ''), 1, 24000) || chr(10) || '--- END ARTICLE ---' as prompt from news_fx where status = 'pending' and score >= 66""")
+@query("llm_requests", """with q as (select *, coalesce(original_content, '') as body, cast(greatest(1, ceil(length(coalesce(original_content, '')) / 24000)) as int) as n_chunks
+ from news_fx where status = 'pending' and score >= 66), k as (select *, cast(unnest(generate_series(1, n_chunks)) as int) as chunk_no from q)
+select id, chunk_no, n_chunks, 'Название: ' || title || chr(10) || 'Источник: ' || source || chr(10) || chr(10) || '--- BEGIN ARTICLE (UNTRUSTED) ---' || chr(10)
+ || substr(body, (chunk_no - 1) * 24000 + 1, 24000) || chr(10) || '--- END ARTICLE ---' as prompt from k""")
 def llm_requests(spark, d):
     queue = X.news(spark, d).filter((c("status") == "pending") & (c("score") >= rules.MANIFEST_MIN_SCORE))
     return P.prompt_requests(queue)
 
 
 def responses(spark, d):
-    """Raw model answers made from the assistant turns; some are malformed."""
-    plain = F.regexp_replace(c("text"), r"[^A-Za-z0-9 .,]", "")
+    """Raw model answers made from the assistant turns, whole; some are malformed."""
+    text = c("text")
     k = (c("conv_id") + c("turn")) % 8
-    good = F.concat(F.lit('{"title_ru": "'), plain, F.lit('", "summary": " '), plain, F.lit('"}'))
+    good = F.to_json(F.struct(text.alias("title_ru"), F.concat(F.lit(" "), text).alias("summary")))
     raw = (
         F.when(k == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
         .when(k == 1, F.concat(F.lit("Here it is: "), good, F.lit(" done")))
-        .when(k == 2, plain)
-        .when(k == 3, F.concat(F.lit('{"title_ru": "'), plain))
-        .when(k == 4, F.lit('{"title_ru": 5, "summary": "x"}'))
-        .when(k == 5, F.lit('{"title_ru": " ", "summary": "x"'))
-        .when(k == 6, F.concat(F.lit('{"summary": "'), plain, F.lit('", "title_ru": "'), plain, F.lit('"}')))
+        .when(k == 2, text)
+        .when(k == 3, F.concat(F.lit('{"title_ru": "x", "summary": '), F.lit("} "), text))
+        .when(k == 4, F.lit('{"x": {"title_ru": "s"}, "title_ru": 5, "summary": "y"}'))
+        .when(k == 5, F.lit('{"title_ru": " ", "summary": "x"}'))
+        .when(k == 6, F.to_json(F.struct(text.alias("summary"), F.lit("too short").alias("title_ru"))))
         .otherwise(good)
     )
     return X.table(spark, d, "conversations").filter(c("role") == "assistant").select("conv_id", "turn", raw.alias("raw"))
 
 
-_RESP = r"""responses_raw as (select conv_id, turn, regexp_replace(text, '[^A-Za-z0-9 .,]', '', 'g') as plain, (conv_id + turn) % 8 as k from conversations where role = 'assistant'),
+_RESP = r"""responses_raw as (select conv_id, turn, text as plain, (conv_id + turn) % 8 as k from conversations where role = 'assistant'),
 responses_all as (select conv_id, turn, case k when 0 then '```json' || chr(10) || good || chr(10) || '```' when 1 then 'Here it is: ' || good || ' done' when 2 then plain
- when 3 then '{"title_ru": "' || plain when 4 then '{"title_ru": 5, "summary": "x"}' when 5 then '{"title_ru": " ", "summary": "x"'
- when 6 then '{"summary": "' || plain || '", "title_ru": "' || plain || '"}' else good end as raw
- from (select *, '{"title_ru": "' || plain || '", "summary": " ' || plain || '"}' as good from responses_raw) z),
+ when 3 then '{"title_ru": "x", "summary": } ' || plain when 4 then '{"x": {"title_ru": "s"}, "title_ru": 5, "summary": "y"}' when 5 then '{"title_ru": " ", "summary": "x"}'
+ when 6 then json_object('summary', plain, 'title_ru', 'too short')::varchar else good end as raw
+ from (select *, json_object('title_ru', plain, 'summary', ' ' || plain)::varchar as good from responses_raw) z),
 found as (select *, case when regexp_matches(c, '(?s)\{.*"title_ru".*"summary".*\}') then regexp_extract(c, '(?s)\{.*"title_ru".*"summary".*\}') else regexp_extract(c, '(?s)\{.*\}') end as f
  from (select *, regexp_replace(raw, '```json\s*|```\s*', '', 'g') as c from responses_all) y),
 parsed as (select *, case when f <> '' and json_valid(f) then f::json end as j from found),
@@ -287,8 +289,7 @@ usable as (select conv_id, turn, case when f = '' then 'no JSON object' when j i
 
 @query("llm_responses", f"with {_RESP} select conv_id, turn, reason, case when reason is null then title_ru end as title_ru, case when reason is null then summary end as summary from usable")
 def llm_responses(spark, d):
-    p = P.parse_response(c("raw"))
-    rows = responses(spark, d).withColumns({k: v for k, v in p.items()})
+    rows = P.with_parsed_response(responses(spark, d), "raw")
     ok = c("reason").isNull()
     return rows.select("conv_id", "turn", "reason", F.when(ok, c("title_ru")).alias("title_ru"), F.when(ok, c("summary")).alias("summary"))
 
@@ -296,13 +297,12 @@ def llm_responses(spark, d):
 @query("save_summary", f"""with {_RESP}, r as (select conv_id as id, title_ru, summary from (select *, row_number() over (partition by conv_id order by turn) as rn from usable where reason is null) w where rn = 1),
 x as (select n.*, r.title_ru, r.summary as new_summary, {S.context('coalesce(r.title_ru, n.title)', 'r.summary', 'n.original_content')} as ctx from news_fx n left join r on r.id = n.id),
 y as (select *, new_summary is not null and {S.invention('ctx')} as inv from x)
-select id, coalesce(title_ru, title) as title, case when new_summary is not null then coalesce(original_title, title) else original_title end as original_title,
+select id, coalesce(title_ru, title) as title, case when new_summary is not null then coalesce(nullif(original_title, ''), title) else original_title end as original_title,
  coalesce(new_summary, summary) as summary, case when new_summary is not null then 'summarized' else status end as status, original_url,
  case when inv then 'invention-tools' else section end as section,
  array_to_string(case when inv then {S.spheres('ctx')} else sphere_tags end, ',') as sphere_tags from y""")
 def save_summary(spark, d):
-    p = P.parse_response(c("raw"))
-    usable = responses(spark, d).withColumns(p).filter(c("reason").isNull())
+    usable = P.with_parsed_response(responses(spark, d), "raw").filter(c("reason").isNull())
     first = usable.groupBy(c("conv_id").alias("id")).agg(
         F.min_by("title_ru", "turn").alias("title_ru"), F.min_by("summary", "turn").alias("summary"))
     out = P.save_summary(X.news(spark, d), first, X.now())
