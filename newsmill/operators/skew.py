@@ -22,3 +22,20 @@ def bucketed_previous(df: DataFrame, key: str, order: list[str], bucket: Column,
     return out.withColumn(name, F.when(F.col("_first"), F.col("_before")).otherwise(F.col(name))).drop(
         "_bucket", "_first", "_before"
     )
+
+
+def bucketed_rank(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str = "rank") -> DataFrame:
+    """1-based rank per key without sending a whole key to one task.
+
+    ``bucket`` must not fall along ``order`` inside a key.  Rows are ranked inside
+    (key, bucket); the rows of earlier buckets come from the small table of
+    bucket sizes.
+    """
+    d = df.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    sizes = d.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    d = d.withColumn("_inside", F.row_number().over(inside))
+    d = d.join(sizes, [*keys, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
+    return d.drop("_bucket", "_inside", "_before")

@@ -5,6 +5,7 @@ from importlib import import_module
 _MODULES = [
     "reader_queries",
     "text_queries",
+    "collect_queries",
 ]
 
 
