@@ -6,6 +6,7 @@ _MODULES = [
     "reader_queries",
     "text_queries",
     "collect_queries",
+    "lifecycle_queries",
 ]
 
 
