@@ -78,7 +78,7 @@ def open_artifact(repo_found: Column, links: Column) -> Column:
 
 
 def is_science_row(is_science: Column, source: Column) -> Column:
-    return F.coalesce(is_science, F.lit(False)) | source.isin(rules.TIER1_SOURCES + rules.TIER2_SOURCES)
+    return F.coalesce(is_science, F.lit(False)) | F.coalesce(source.isin(rules.TIER1_SOURCES + rules.TIER2_SOURCES), F.lit(False))
 
 
 def article_evidence(title: Column, page_text: Column, repo_description: Column, repo_topics: Column) -> Column:

@@ -7,6 +7,7 @@ _MODULES = [
     "text_queries",
     "collect_queries",
     "lifecycle_queries",
+    "evaluation_queries",
 ]
 
 
