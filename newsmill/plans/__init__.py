@@ -8,6 +8,7 @@ _MODULES = [
     "collect_queries",
     "lifecycle_queries",
     "evaluation_queries",
+    "dedup_queries",
 ]
 
 
