@@ -19,7 +19,7 @@ def _resolved_path(path: Column) -> Column:
     parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
     ends = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
     kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), ends)).otherwise(path)
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, ends).otherwise(""))).otherwise(path)
 
 
 def normalize_url(url: Column) -> Column:
@@ -108,7 +108,8 @@ def _ipv6_groups(host: Column) -> Column:
     short = F.contains(bare, F.lit("::"))
     zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(head) - F.size(tail), F.lit(0)))
     groups = F.when(short, F.concat(head, zeros, tail)).otherwise(head)
-    fine = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    once = ~bare.rlike("::.*::|:::")
+    fine = once & (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
     return F.when(fine, F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")))
 
 
