@@ -1,0 +1,106 @@
+"""Operators against brute force on small fixtures, and invariants."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import functions as F
+
+from newsmill.operators import dedup as D, evaluation as V, health as H, lifecycle as Y
+from newsmill.operators.skew import bucketed_rank
+
+
+def lev(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def similar(a: str, b: str) -> bool:
+    return a == b or 100 * (1 - lev(a, b) / max(len(a), len(b))) >= 85
+
+
+def titles(n: int, seed: int) -> list[str]:
+    rng, out = random.Random(seed), []
+    while len(out) < n:
+        base = "".join(rng.choice("abcdeé ") for _ in range(rng.choice([2, 5, 7, 12, 14, 20, 40])))
+        out.append(base)
+        for _ in range(rng.randint(0, 3)):
+            t = list(base)
+            for _ in range(rng.randint(1, 1 + len(base) // 6)):
+                k = rng.randrange(len(t))
+                t[k : k + 1] = rng.choice([[], ["x"], [t[k], "y"]])
+                t = t or ["z"]
+            out.append("".join(t))
+    return out[:n]
+
+
+def test_similar_keys_equal_all_pairs(spark):
+    keys = sorted({t for t in titles(120, 3) if t})
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    found = {(r.left_key, r.right_key) for r in D.similar_keys(df, df).collect()}
+    assert found == {(a, b) for a in keys for b in keys if similar(a, b)}
+
+
+def test_batch_dedup_is_the_greedy_choice(spark):
+    rng = random.Random(9)
+    rows = [(i, t, f"u{rng.randrange(60)}") for i, t in enumerate(titles(100, 5))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "n long, title string, url string")
+    found = {r.n: r.keep for r in D.dedup_in_batch(df, "n", F.col("url"), F.col("title")).collect()}
+    kept: list[tuple] = []
+    for n, t, u in sorted(rows):
+        if all(u != b and not (t and a and similar(t, a)) for _, a, b in kept):
+            kept.append((n, t, u))
+    assert {n for n, k in found.items() if k} == {n for n, _, _ in kept}
+
+
+def test_history_is_searched_whole(spark):
+    history = spark.createDataFrame([(i, f"story number {i} about something else entirely {i * i}") for i in range(50)], "match_id long, t string")
+    new = spark.createDataFrame([(1, "a", "story number 7 about something else entirely 49!"), (2, "known", "fresh"), (3, "c", "nothing like it at all")], "id long, url string, title string")
+    known = spark.createDataFrame([("known",)], "url string")
+    out = {r.id: (r.reason, r.match_id) for r in D.dedup_against_history(new, history, known, F.col("title"), F.col("t")).collect()}
+    assert out == {1: ("semantic-title", 7), 2: ("url-exists", None), 3: ("unique", None)}
+
+
+def test_bucketed_rank_is_the_rank(spark):
+    rng = random.Random(1)
+    rows = [("hot" if rng.random() < 0.8 else "k", rng.randrange(1000), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v long, i long")
+    found = {r.i: r.rank for r in bucketed_rank(df, ["k"], ["v", "i"], F.floor(F.col("v") / 50)).collect()}
+    for key in ("hot", "k"):
+        order = sorted((v, i) for k, v, i in rows if k == key)
+        assert [found[i] for _, i in order] == list(range(1, len(order) + 1))
+
+
+def test_source_health_equals_the_fold(spark):
+    rng = random.Random(6)
+    rows = [(s, e, f"2024-01-01 00:{e % 60:02d}:00", rng.random() < 0.6, rng.random() < 0.8, None, float(e)) for s in range(5) for e in range(20)]
+    df = spark.createDataFrame(rows, "source_id long, event_id long, t string, accessible boolean, selector_works boolean, error string, response_ms double").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    found = {r.source_id: (r.status, r.consecutive_fails) for r in H.source_health(df).collect()}
+    for s in range(5):
+        fails, status = 0, None
+        for _, _, _, ok, works, *_ in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1])):
+            status = "failed" if not ok else "degraded" if not works else "healthy"
+            fails = 0 if status == "healthy" else fails + 1
+        assert found[s] == (status, fails)
+
+
+def test_failure_policy(spark):
+    rows = [(1, "fetch", "x", False, 1, "2024-01-01"), (1, "fetch", "y", False, 2, "2024-01-02"), (1, "fetch", "z", False, 3, "2024-01-03"), (2, "zen", "x", False, 4, "2024-01-01"), (2, "zen", "x", False, 5, "2024-01-01"),
+            (2, "zen", "x", False, 6, "2024-01-01"), (3, "fetch", "youtube-transcript-unavailable", True, 7, "2024-01-01"), (4, "fetch", "x", False, 8, "2024-01-01")]
+    df = spark.createDataFrame(rows, "article_id long, stage string, reason string, is_youtube boolean, event_id long, t string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    found = {r.article_id: (r.attempts, r.reject, r.last_reason) for r in Y.failure_policy(df).collect()}
+    assert found == {1: (3, True, "z"), 2: (3, False, "x"), 3: (1, True, "youtube-transcript-unavailable"), 4: (1, False, "x")}
+
+
+def test_upsert_and_cap(spark):
+    old = spark.createDataFrame([(1, "a", "c1"), (2, "b", "c2")], "id long, name string, made string")
+    new = spark.createDataFrame([(2, "B", "c9"), (3, "C", "c3")], "id long, name string, made string")
+    assert sorted(map(tuple, Y.upsert(old, new, "id", ["name"]).collect())) == [(1, "a", "c1"), (2, "B", "c2"), (3, "C", "c3")]
+    rows = spark.createDataFrame([(i, s, "2024-01-01") for i, s in enumerate([90, 80, 80, 40, None, 70])], "id long, score int, created_at string")
+    found = {r.id: r.decision for r in V.gate_and_cap(rows, F.lit(1), 3).collect()}
+    assert found == {0: "approved", 2: "approved", 1: "rejected-daily-cap", 5: "rejected-daily-cap", 3: "rejected-low-score", 4: "rejected-low-score"}
