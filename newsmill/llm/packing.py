@@ -5,7 +5,8 @@ sweep of each partition gives every piece the smallest gap that holds it, and
 offers what is left of the gap again further down.  Pieces and gaps that find no
 partner in their own partition are matched across partitions by their ranks: any
 gap of an earlier partition holds any piece of a later one.  Gaps are updated
-and the next round begins; when a round places nothing, new sequences are opened.
+and the next round begins.  Before each round as many new sequences are opened as
+the gaps' total room falls short; when a round places nothing, as the rest needs.
 """
 
 from __future__ import annotations
@@ -209,6 +210,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     of rounds follows from the data: they end when all is placed.
     """
     spark = pieces.sparkSession
+    ship(spark)
     folder = new_folder(spark, "placed")
     placed_ddl = "item long, seq long, offset long"
     large = pieces.filter(F.col("size") * 2 > capacity)
@@ -218,19 +220,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     state = stored(state.unionAll(gaps.filter("size > 0")), "packing")
     opened, round_no, stalled = 0, 0, False
     while True:
-        n, n_items, total, least = state.agg(
-            F.count("*"), F.count_if(~F.col("is_gap")), F.sum(F.when(~F.col("is_gap"), F.col("size"))), F.min(F.when(~F.col("is_gap"), F.col("size"))),
+        gap, size = F.col("is_gap"), F.col("size")
+        n, n_items, total, free, least = state.agg(
+            F.count("*"), F.count_if(~gap), F.sum(F.when(~gap, size)), F.coalesce(F.sum(F.when(gap, size)), F.lit(0)), F.min(F.when(~gap, size))
         ).first()
         if not n_items:
             break
-        work = state.filter(~F.col("is_gap") | (F.col("size") >= least))
-        if stalled:
-            more = -(-total // capacity)
+        work = state.filter(~gap | (size >= least))
+        # what the gaps cannot hold in any case needs as many more sequences; where nothing fits any more, all of it does
+        more = -(-total // capacity) if stalled else max(0, -(-(total - free) // capacity))
+        if more:
             new = spark.range(opened + 1, opened + 1 + more).select(F.lit(True).alias("is_gap"), F.lit(capacity).cast("long").alias("size"), (-F.col("id")).alias("id"))
             work, opened, n = work.unionAll(new), opened + more, n + more
         round_no += 1
         order = [F.col("size").desc(), F.col("is_gap").desc(), "id"]
-        ranged = work.repartitionByRange(-(-n // ROWS_PER_TASK), *order).sortWithinPartitions(*order)
+        tasks = -(-n // ROWS_PER_TASK)
+        ranged = work.repartitionByRange(tasks, *order) if tasks > 1 else work.repartition(1)
+        ranged = ranged.sortWithinPartitions(*order)
         swept = stored(ranged.mapInArrow(_sweeper(capacity, least), _SWEPT), "swept")
         parts = swept.groupBy("part").agg(F.count_if(F.col("kind") == _LEFT), F.count_if(F.col("kind") == _OPEN), F.count_if(F.col("kind") == _PLACED)).orderBy("part").collect()
         item_spans, gap_spans = match_ranks([tuple(p)[:3] for p in parts])
