@@ -164,11 +164,6 @@ def remove_boilerplate(text: Column) -> Column:
     return text
 
 
-def clean_block(text: Column) -> Column:
-    """Boilerplate removed, white space collapsed."""
-    return collapse_ws(remove_boilerplate(text))
-
-
 def clean_text(text: Column) -> Column:
     """Distinct non-empty lines in first-seen order, without boilerplate, on one line."""
     lines = F.transform(F.split(remove_boilerplate(text), "\n+"), trim_ws)

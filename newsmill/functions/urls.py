@@ -39,22 +39,6 @@ def normalize_url(url: Column) -> Column:
     return F.when(web, F.regexp_replace(joined, r"^www\.", "")).when(scheme != "", F.concat(scheme, F.lit("://"), joined)).otherwise(F.lower(u))
 
 
-def url_host(url: Column) -> Column:
-    host = F.regexp_replace(F.lower(F.regexp_extract(trim_ws(url), _HTTP, 2)), r":\d+$", "")
-    return F.nullif(host, F.lit(""))
-
-
-def url_origin(url: Column) -> Column:
-    return F.regexp_extract(trim_ws(url), r"(?i)^(https?://[^/?#]+)", 1)
-
-
-def resolve_link(link: Column, page_url: Column) -> Column:
-    relative = F.concat(
-        url_origin(page_url), F.when(link.startswith("/"), F.lit("")).otherwise(F.lit("/")), link
-    )
-    return F.when((link == "") | link.startswith("http"), link).otherwise(relative)
-
-
 def trimmed_doi(text: Column) -> Column:
     found = F.regexp_extract(text, "(?i)" + rules.DOI_PATTERN, 0)
     return F.nullif(F.regexp_replace(found, r"[.)]+$", ""), F.lit(""))
@@ -81,10 +65,6 @@ def github_repo(url: Column) -> Column:
     )
 
 
-def is_github_url(url: Column) -> Column:
-    return url.rlike(rules.GITHUB_REPO_PATTERN)
-
-
 def is_youtube_url(url: Column) -> Column:
     return url.rlike("(?i)" + rules.YOUTUBE_URL_PATTERN)
 

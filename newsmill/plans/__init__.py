@@ -9,6 +9,7 @@ _MODULES = [
     "lifecycle_queries",
     "evaluation_queries",
     "dedup_queries",
+    "digest_queries",
 ]
 
 

@@ -189,10 +189,6 @@ def failures(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select(F.col("user_id").alias("key"), "event_id", "ts")
-
-
 def hits(spark: SparkSession, d: str) -> DataFrame:
     """Social hits: two of three carry the article's URL, the others only a title."""
     n = news(spark, d).select("id", "original_url", "title")
@@ -386,7 +382,6 @@ from events, params_fx where event_type = 'purchase' group by 1, 2""",
  case user_id % 3 when 0 then 'fetch' when 1 then 'extract' else 'zen' end as stage,
  case when user_id % 10 = 0 then 'youtube-transcript-unavailable' else 'content-unavailable' end as reason,
  user_id % 10 = 0 as is_youtube, ts, event_id from events, params_fx where event_type = 'error'""",
-    "requests_fx": "select user_id as key, event_id, ts from events",
     "hits_fx": """select event_id, case when event_id % 3 <> 0 then n.original_url end as url,
  case when event_id % 4 <> 0 then n.title end as title, case when event_id % 5 = 0 then n.title end as story_title,
  cast(trunc(value) as int) * 20 as points, ts
