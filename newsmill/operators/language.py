@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from newsmill.functions import text as T
 
@@ -10,10 +10,13 @@ PROFILE_GRAMS = 300
 MIN_CHARS = 20
 
 
-def _trigrams(text: Column) -> Column:
-    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3)))
-    return F.filter(grams, lambda g: F.trim(g) != "")
+def _trigrams(texts: DataFrame, *keep: str) -> DataFrame:
+    """(keep, gram) of every trigram of letters; the letters are a column of their own, or each trigram would compute them anew."""
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(T.or_empty(F.col("text"))), r"[^\p{L}]+", " "), F.lit(" "))
+    d = texts.select(*keep, F.split(plain, "").alias("_t"))
+    places = F.sequence(F.lit(0), F.greatest(F.size("_t") - 3, F.lit(0)))
+    grams = F.transform(places, lambda i: F.concat_ws("", *[F.get("_t", i + k) for k in range(3)]))
+    return d.select(*keep, F.explode(grams).alias("gram")).filter(F.trim("gram") != "")
 
 
 def _ranked(counts: DataFrame, key: str, top: int) -> DataFrame:
@@ -23,7 +26,7 @@ def _ranked(counts: DataFrame, key: str, top: int) -> DataFrame:
 
 def language_profiles(labelled: DataFrame, top: int = PROFILE_GRAMS) -> DataFrame:
     """(lang, gram, place): the ``top`` most frequent trigrams of each language in (lang, text)."""
-    grams = labelled.filter("lang is not null").select("lang", F.explode(_trigrams(T.or_empty(F.col("text")))).alias("gram"))
+    grams = _trigrams(labelled.filter("lang is not null"), "lang")
     return _ranked(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")), "lang", top)
 
 
@@ -33,7 +36,7 @@ def detect_language(texts: DataFrame, profiles: DataFrame, key: str = "doc_id",
     Profiles have ``top`` rows per language, so they are broadcast.
     """
     long = F.length(T.trim_ws(T.or_empty(F.col("text")))) >= MIN_CHARS
-    grams = texts.filter(long).select(key, F.explode(_trigrams(F.col("text"))).alias("gram"))
+    grams = _trigrams(texts.filter(long), key)
     mine = _ranked(grams.groupBy(key, "gram").agg(F.count("*").alias("n")), key, top)
     known = profiles.select("lang", "gram", F.col("place").alias("_place"))
     met = mine.join(F.broadcast(known), "gram").groupBy(key, "lang").agg(F.sum(top - F.abs(F.col("place") - F.col("_place"))).alias("near"))
