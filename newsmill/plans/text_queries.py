@@ -302,7 +302,9 @@ select id, coalesce(title_ru, title) as title, case when new_summary is not null
  case when inv then 'invention-tools' else section end as section,
  array_to_string(case when inv then {S.spheres('ctx')} else sphere_tags end, ',') as sphere_tags from y""")
 def save_summary(spark, d):
-    usable = P.with_parsed_response(responses(spark, d), "raw").filter(c("reason").isNull())
+    # a filter on a row number isn't pushed below the parsing steps; there, each would be repeated wherever it is used
+    parsed = P.with_parsed_response(responses(spark, d), "raw").withColumn("number", F.monotonically_increasing_id())
+    usable = parsed.filter(c("reason").isNull() & (c("number") >= 0))
     first = usable.groupBy(c("conv_id").alias("id")).agg(
         F.min_by("title_ru", "turn").alias("title_ru"), F.min_by("summary", "turn").alias("summary"))
     out = P.save_summary(X.news(spark, d), first, X.now())
