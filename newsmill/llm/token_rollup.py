@@ -97,7 +97,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = stored(token_counts(docs, versions), "token-counts")
     rollup = Rollup(spark, new_folder(spark, "token-rollup"))
     rollup.commit(1, signed(old, 1))
-    poor = docs.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    # a hash join at every size: labels grow with the documents, so they are never broadcast
+    poor = docs.join(labels.filter("quality = 0").select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     cleaned = judge(poor).select("doc_id", F.col("clean_text").alias("text"))
     revised = stored(token_counts(cleaned.join(poor.select("doc_id", "source", "lang"), "doc_id"), versions), "recounts")
     toxic = labels.filter("toxic = 1").select("doc_id")
