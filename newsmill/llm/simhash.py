@@ -53,7 +53,8 @@ def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...] = (42,), pa
     ``version`` is a hash of the text, which tells apart different texts of one id.
 
     The key is the population counts of ``parts`` equal parts of each word or,
-    with ``by_size`` = s, the step of the shingle count on a scale of factor 1/s.
+    with ``by_size`` = s, the step of the shingle count on a scale of factor 1/s;
+    shingles then count once however often they are repeated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +64,8 @@ def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...] = (42,), pa
                 text, n = text.as_py(), 0
                 for k, seed in enumerate(seeds):
                     hashes = shingle_hashes(text, words, seed)
+                    if by_size:
+                        hashes = np.unique(hashes)
                     prints[i, k], n = majority_bits(hashes), len(hashes)
                 if by_size:
                     keys.append(int(np.log(max(n, 1)) / -np.log(by_size)))
@@ -252,8 +255,8 @@ def similar_documents(
 ) -> DataFrame:
     """(doc_id, version, fp, component_id) as near_duplicates, linking texts whose shingle sets have a Jaccard similarity.
 
-    Wide fingerprints find candidates by tiled comparison, only where the
-    shingle counts allow the similarity; their sets are then compared.  Texts
+    Wide fingerprints of the distinct shingles find candidates by tiled comparison,
+    only where their counts allow the similarity; the sets are then compared.  Texts
     with equal fingerprints count as equal.
     """
 

@@ -139,6 +139,18 @@ def test_similar_documents_meet_the_similarity(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
 
 
+def test_repeated_passages_do_not_part_similar_documents(spark):
+    """A refrain ten times instead of once, and a whole text twice: the shingle sets stay all but the same."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:500] + words[476:500] * 9 + words[500:])), (10 * k + 2, " ".join(words * 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == {i: i // 10 * 10 for i, _ in rows}
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(df).collect()) == [10 * k for k in range(6)]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5, 5), (2000, 2001), (2001, 2000)]
     found = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
