@@ -54,18 +54,22 @@ def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...] = (42,), pa
 
     The key is the population counts of ``parts`` equal parts of each word or,
     with ``by_size`` = s, the step of the shingle count on a scale of factor 1/s;
-    shingles then count once however often they are repeated.
+    shingles then count once however often they are repeated, and a column node
+    array<long> follows: fp and a hash of the set of shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, keys = np.zeros((batch.num_rows, len(seeds)), dtype=np.uint64), []
+            sets = np.zeros((batch.num_rows, 1), dtype=np.uint64)
             for i, text in enumerate(batch.column("text")):
                 text, n = text.as_py(), 0
                 for k, seed in enumerate(seeds):
                     hashes = shingle_hashes(text, words, seed)
                     if by_size:
                         hashes = np.unique(hashes)
+                        if k == 0:
+                            sets[i, 0] = xxhash.xxh64_intdigest(hashes.tobytes())
                     prints[i, k], n = majority_bits(hashes), len(hashes)
                 if by_size:
                     keys.append(int(np.log(max(n, 1)) / -np.log(by_size)))
@@ -78,13 +82,14 @@ def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...] = (42,), pa
                 key = np.bitwise_count(piece).reshape(batch.num_rows, -1).astype(np.int32)
             n, wide = key.shape
             key = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * wide), pa.array(key.reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("version"), long_lists(prints), key], ["doc_id", "version", "fp", "key"]
-            )
+            out = [batch.column("doc_id"), batch.column("version"), long_lists(prints), key]
+            if by_size:
+                out.append(long_lists(np.concatenate((prints, sets), axis=1)))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "version", "fp", "key", "node"][: len(out)])
 
     ship(docs.sparkSession)
     d = id_and_text(docs).withColumn("version", F.xxhash64("text"))
-    return d.mapInArrow(run, "doc_id long, version long, fp array<long>, key array<int>")
+    return d.mapInArrow(run, "doc_id long, version long, fp array<long>, key array<int>" + (", node array<long>" if by_size else ""))
 
 
 def neighbour_offsets(parts: int, radius: int) -> list[list[int]]:
@@ -164,18 +169,18 @@ def links(prints: DataFrame, offsets: list[list[int]], radius: int, tile_rows: i
     return pairs.mapInArrow(run, "u array<long>, v array<long>").filter("u <> v")
 
 
-def _named(prints: DataFrame, found: DataFrame) -> DataFrame:
-    """(fp, component_id) for each fingerprint: the smallest id over the component that ``found`` (node, root) gives it."""
-    first = prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    first = first.join(found, first["fp"] == found["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+def _named(prints: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """(``by``, component_id) for each value of that column: the smallest id over the component that ``found`` (node, root) gives it."""
+    first = prints.filter("doc_id is not null").groupBy(by).agg(F.min("doc_id").alias("first_id"))
+    first = first.join(found, first[by] == found["node"], "left").select(
+        first[by], "first_id", F.coalesce(found["root"], first[by]).alias("root")
     )
     lowest = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return first.join(lowest, "root").select("fp", "component_id")
+    return first.join(lowest, "root").select(by, "component_id")
 
 
-def _with_components(prints: DataFrame, found: DataFrame) -> DataFrame:
-    return prints.join(_named(prints, found), "fp", "left").select(
+def _with_components(prints: DataFrame, found: DataFrame, by: str = "fp") -> DataFrame:
+    return prints.join(_named(prints, found, by), by, "left").select(
         "doc_id", "version", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 
@@ -209,11 +214,12 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def verified_links(members: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(group, fp, shingles) -> links (u, v) between fingerprints of a group whose shingle sets are similar.
+    """(group, node, shingles) -> links (u, v) between nodes of a group whose shingle sets are similar.
 
     A group is cut into tiles and each pair of tiles is a row.  Of the pairs
-    within ``radius``, nearest first, those not yet connected in the tile pair are
-    compared in full; so what is skipped is connected anyway.
+    whose fingerprints are within ``radius``, nearest first, those not yet connected in
+    the tile pair are compared in full, also where fingerprints are equal; so what
+    is skipped is connected anyway.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +227,7 @@ def verified_links(members: DataFrame, radius: int, similarity: float) -> DataFr
             left, right = [], []
             for mine, other in zip(batch.column("rows"), batch.column("other")):
                 rows = [r for side in (mine, other) for r in side.values.to_pylist()]
-                fps = np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64)
+                fps = np.array([r["node"][:-1] for r in rows], dtype=np.int64).view(np.uint64)
                 sets = [np.array(r["shingles"], dtype=np.int64) for r in rows]
                 n = len(mine.values)
                 apart = sum(np.bitwise_count(fps[:n, None, k] ^ fps[None, n:, k]).astype(np.uint16) for k in range(fps.shape[1]))
@@ -235,16 +241,16 @@ def verified_links(members: DataFrame, radius: int, similarity: float) -> DataFr
                     return i
 
                 for i, j in zip(u[order].tolist(), (v[order] + n).tolist()):
-                    if top(i) != top(j) and (np.array_equal(fps[i], fps[j]) or _jaccard(sets[i], sets[j]) >= similarity):
+                    if top(i) != top(j) and (rows[i]["node"] == rows[j]["node"] or _jaccard(sets[i], sets[j]) >= similarity):
                         up[top(i)] = top(j)
-                        left.append(rows[i]["fp"])
-                        right.append(rows[j]["fp"])
+                        left.append(rows[i]["node"])
+                        right.append(rows[j]["node"])
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in (left, right)], ["u", "v"])
 
     sizes = members.groupBy("group").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("n"))
-    tiles = members.join(sizes, "group").groupBy("group", "n", F.pmod(F.xxhash64("fp"), "n").cast("int").alias("tile"))
-    tiles = stored(tiles.agg(F.collect_list(F.struct("fp", "shingles")).alias("rows")), "similar-tiles")
+    tiles = members.join(sizes, "group").groupBy("group", "n", F.pmod(F.xxhash64("node"), "n").cast("int").alias("tile"))
+    tiles = stored(tiles.agg(F.collect_list(F.struct("node", "shingles")).alias("rows")), "similar-tiles")
     other = tiles.select("group", F.col("rows").alias("other"), F.explode(F.sequence(F.lit(0), "tile")).alias("tile"))
     pairs = tiles.join(other, ["group", "tile"]).select("rows", "other")
     return pairs.mapInArrow(run, "u array<long>, v array<long>").filter("u <> v")
@@ -256,8 +262,8 @@ def similar_documents(
     """(doc_id, version, fp, component_id) as near_duplicates, linking texts whose shingle sets have a Jaccard similarity.
 
     Wide fingerprints of the distinct shingles find candidates by tiled comparison,
-    only where their counts allow the similarity; the sets are then compared.  Texts
-    with equal fingerprints count as equal.
+    only where their counts allow the similarity; the sets are then compared, also those
+    of equal fingerprints.  Texts with equal sets are similar, also those without words.
     """
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,13 +273,16 @@ def similar_documents(
 
     prints = stored(fingerprints(docs, words, seeds, by_size=similarity), "prints")
     known = prints.filter("doc_id is not null")
-    distinct = stored(known.groupBy("fp").agg(F.min("key").alias("key"), F.min(F.struct("doc_id", "version")).alias("first")), "distinct")
-    groups = components(links(distinct.select("fp", "key"), [[0], [1]], radius))
-    groups = stored(groups.unionAll(groups.select(F.col("root").alias("node"), "root")).distinct(), "groups")
-    firsts = distinct.join(groups, distinct["fp"] == groups["node"]).select("first.doc_id", "first.version", "fp", F.col("root").alias("group"))
+    distinct = stored(known.groupBy("fp", "key", "node").agg(F.min(F.struct("doc_id", "version")).alias("first")), "distinct")
+    linked = components(links(distinct.select("fp", "key").distinct(), [[0], [1]], radius))
+    # an fp of several sets is a group even if no other is near it
+    shared = distinct.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").join(linked, F.col("fp") == linked["node"], "left_anti")
+    groups = linked.unionAll(linked.select(F.col("root").alias("node"), "root")).distinct().select(F.col("node").alias("fp"), F.col("root").alias("group"))
+    groups = stored(groups.unionAll(shared.select("fp", F.col("fp").alias("group"))).distinct(), "groups")
+    firsts = distinct.join(groups, "fp").select("first.doc_id", "first.version", "node", "group")
     texts = id_and_text(docs).withColumn("version", F.xxhash64("text")).join(firsts, ["doc_id", "version"])
-    members = texts.select("group", "fp", "text").mapInArrow(shingles, "group array<long>, fp array<long>, shingles array<long>")
-    return _with_components(prints, components(verified_links(members, radius, similarity)))
+    members = texts.select("group", "node", "text").mapInArrow(shingles, "group array<long>, node array<long>, shingles array<long>")
+    return _with_components(prints, components(verified_links(members, radius, similarity)), "node")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -151,6 +151,25 @@ def test_repeated_passages_do_not_part_similar_documents(spark):
     assert sorted(r.doc_id for r in simhash.without_near_duplicates(df).collect()) == [10 * k for k in range(6)]
 
 
+def test_equal_fingerprints_do_not_make_texts_similar(spark, monkeypatch):
+    """Texts mostly of one run, and fingerprints that all coincide: only similar sets are linked."""
+    run, rng = "0 " * 400, random.Random(13)
+    rows = [(k, run + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for k in range(4)]
+    rows += [(9, rows[3][1] + " 0 0 0"), (20, ""), (21, " \n"), (22, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {0: 0, 1: 1, 2: 2, 3: 3, 9: 3, 20: 20, 21: 20, 22: 20}
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == expected
+    prints = simhash.fingerprints
+
+    def coinciding(*args, **kwargs):
+        found = prints(*args, **kwargs)
+        node = F.concat(F.transform("fp", lambda x: F.lit(1).cast("long")), F.slice("node", -1, 1))
+        return found.withColumns({"fp": F.transform("fp", lambda x: F.lit(1).cast("long")), "node": node})
+
+    monkeypatch.setattr(simhash, "fingerprints", coinciding)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == expected
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5, 5), (2000, 2001), (2001, 2000)]
     found = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
