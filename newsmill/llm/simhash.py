@@ -170,18 +170,18 @@ def links(prints: DataFrame, offsets: list[list[int]], radius: int, tile_rows: i
 
 
 def _named(prints: DataFrame, found: DataFrame, by: str) -> DataFrame:
-    """(``by``, component_id) for each value of that column: the smallest id over the component that ``found`` (node, root) gives it."""
+    """(``by``, root, component_id) for each value of that column: the component that ``found`` (node, root) gives it and its smallest id."""
     first = prints.filter("doc_id is not null").groupBy(by).agg(F.min("doc_id").alias("first_id"))
     first = first.join(found, first[by] == found["node"], "left").select(
         first[by], "first_id", F.coalesce(found["root"], first[by]).alias("root")
     )
     lowest = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return first.join(lowest, "root").select(by, "component_id")
+    return first.join(lowest, "root").select(by, "root", "component_id")
 
 
 def _with_components(prints: DataFrame, found: DataFrame, by: str = "fp") -> DataFrame:
     return prints.join(_named(prints, found, by), by, "left").select(
-        "doc_id", "version", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+        "doc_id", "version", "fp", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("component_id", "root")]
     )
 
 
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (4
     prints = stored(fingerprints(docs, words, seeds, parts), "prints")
     distinct = stored(prints.filter("doc_id is not null").select("fp", "key").distinct(), "distinct")
     found = components(links(distinct, neighbour_offsets(parts * len(seeds), radius), radius))
-    return _with_components(prints, found)
+    return _with_components(prints, found).drop("root")
 
 
 SIMILAR_SEEDS = (42, 43, 44, 45)
@@ -259,7 +259,9 @@ def verified_links(members: DataFrame, radius: int, similarity: float) -> DataFr
 def similar_documents(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = SIMILAR_SEEDS, radius: int = SIMILAR_RADIUS
 ) -> DataFrame:
-    """(doc_id, version, fp, component_id) as near_duplicates, linking texts whose shingle sets have a Jaccard similarity.
+    """(doc_id, version, fp, component_id, root) as near_duplicates, linking texts whose shingle sets have a Jaccard similarity.
+
+    ``root`` tells components apart, also those that share their smallest id.
 
     Wide fingerprints of the distinct shingles find candidates by tiled comparison,
     only where their counts allow the similarity; the sets are then compared, also those
@@ -288,10 +290,10 @@ def similar_documents(
 def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of similar documents: the one of the smallest id stays.
 
-    Rows with a null id stay.  Repeated rows are one group.
+    Rows with a null id stay.  Repeated rows are one group.  An id of unlike texts is in several groups and may stay for each.
     """
     found = similar_documents(docs, words, similarity).filter("doc_id is not null")
-    stay = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "version")).alias("s")).select("s.doc_id", "s.version")
+    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("s")).select("s.doc_id", "s.version")
     d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("v"))
     kept = d.join(stay, (d["id"] == stay["doc_id"]) & (d["v"] == stay["version"]), "left_semi")
     one = Window.partitionBy("id", "v").orderBy("id")

@@ -170,6 +170,13 @@ def test_equal_fingerprints_do_not_make_texts_similar(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == expected
 
 
+def test_an_id_of_unlike_texts_stays_for_each(spark):
+    rng = random.Random(17)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(2))
+    df = spark.createDataFrame([(5, a), (5, b), (7, b + " end"), (5, b), (8, a + " end")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.without_near_duplicates(df).collect()) == sorted([(5, a), (5, b)])
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5, 5), (2000, 2001), (2001, 2000)]
     found = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
