@@ -1,14 +1,18 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-A text is compared as a whole, by paragraphs and by lines.  Two texts of m and n
-bigrams reach at most 2 min(m, n) / (m + n), so a unit meets only the templates
-whose size allows the threshold.
+A text is compared as a whole, by paragraphs and by lines, and by windows of
+words that may begin and end anywhere.  Two texts of m and n bigrams reach at
+most 2 min(m, n) / (m + n), so a unit meets only the templates whose size allows
+the threshold, and a window is looked for only where bigrams of a template lie
+close enough together.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -70,30 +74,68 @@ def sizes_allow(m: int, n: int, threshold: float) -> bool:
     return 2 * min(m, n) >= threshold * (m + n)
 
 
-def units(text: str) -> Iterator[tuple[str, int, bytes]]:
-    """(kind, first line, bytes) of the whole text, its paragraphs if more than one, and its lines if more than one."""
-    lines = text.encode().split(b"\n")
-    yield "text", 0, b"\n".join(lines)
+def units(lines: list[list[bytes]], blank: list[bool]) -> Iterator[tuple[str, int, int]]:
+    """(kind, first line, line after the last) of the whole text, its paragraphs if more than one, and its lines if more than one."""
+    yield "text", 0, len(lines)
     if len(lines) == 1:
         return
     start, paragraphs = None, []
-    for k, line in enumerate([*lines, b""]):
-        blank = not line.strip()
-        if start is None and not blank:
+    for k, empty in enumerate([*blank, True]):
+        if start is None and not empty:
             start = k
-        elif start is not None and blank:
+        elif start is not None and empty:
             paragraphs.append((start, k))
             start = None
     if len(paragraphs) > 1:
         for a, b in paragraphs:
-            yield "paragraph", a, b"\n".join(lines[a:b])
-    for k, line in enumerate(lines):
-        yield "line", k, line
+            yield "paragraph", a, b
+    for k in range(len(lines)):
+        yield "line", k, k + 1
+
+
+def windows(places: list[int], grams: list, template: Counter, size: int, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(first bigram, last bigram, n_shared) of windows that reach the threshold, from left to right and none overlapping.
+
+    ``places`` are the positions in ``grams`` of bigrams of the template.  A window that
+    reaches it does so without what is not the template's at its ends, so all
+    windows from place to place are all that matter.  Of those that overlap the
+    one that ends first, the best is taken, the first and shortest of equals; so no
+    stretch between the windows taken reaches the threshold.
+    """
+    need = next((s for s in range(1, size + 1) if sizes_allow(s, size, threshold)), size + 1)
+    if len(places) < need or (Counter(grams[p] for p in places) & template).total() < need:
+        return
+    i = 0
+    while i + need <= len(places):
+        first_end, best = None, None
+        while i + need <= len(places) and (first_end is None or places[i] <= first_end):
+            start, shared, seen = places[i], 0, Counter()
+            span = places[i + need - 1] - start + 1
+            i += 1
+            if span > size and not sizes_allow(span, size, threshold):
+                continue
+            for end in islice(places, i - 1, None):
+                m = end - start + 1
+                if m > size and not sizes_allow(m, size, threshold):
+                    break
+                g = grams[end]
+                seen[g] += 1
+                shared += seen[g] <= template[g]
+                if 2 * shared >= threshold * (m + size):
+                    first_end = end if first_end is None else min(first_end, end)
+                    if best is None or shared * (best[1] - best[0] + 1 + size) > best[2] * (m + size):
+                        best = start, end, shared
+        if best is not None:
+            yield best
+            i = bisect_left(places, best[1] + 1)
 
 
 def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, licence, unit, first_line, n_shared, n_unit, n_template): each template that a unit of a text reaches.
 
+    Units are the text, its paragraphs and its lines.  A passage that reaches a
+    template elsewhere - over several paragraphs or lines, or inside one - is a unit
+    "window"; its first_line is that of its first word.
     The Dice coefficient is 2 n_shared / (n_unit + n_template), over bigrams with
     their repeats.  Units and templates of fewer than two words have none and
     match nothing; so do null and empty texts.  Each row is scanned, also with a
@@ -104,23 +146,55 @@ def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
         grams = bigrams(plain_words(text.encode()))
         if grams:
             sized.append((grams.total(), name, grams))
-    known = frozenset().union(*(g for *_, g in sized))
+    owners = defaultdict(list)
+    for k, (*_, grams) in enumerate(sized):
+        for g in grams:
+            owners[g].append(k)
+
+    def matches(text: str) -> Iterator[tuple]:
+        raw = text.encode().split(b"\n")
+        lines = [plain_words(x) for x in raw]
+        words = list(chain.from_iterable(lines))
+        hits = [k for k, g in enumerate(zip(words, islice(words, 1, None))) if g in owners]
+        if not hits:
+            return
+        first = [0, *accumulate(map(len, lines))]
+        grams = list(zip(words, words[1:]))
+        told = defaultdict(list)  # word ranges of the units that reach a template
+        for kind, line, after in units(lines, [not x.strip() for x in raw]):
+            a, b = first[line], first[after]
+            n = b - a - 1
+            may = [(k, t) for k, t in enumerate(sized) if sizes_allow(n, t[0], threshold)] if n > 0 else []
+            if not may or (at := bisect_left(hits, a)) == len(hits) or hits[at] >= b - 1:
+                continue
+            own = Counter(grams[a : b - 1])
+            for k, (size, name, template) in may:
+                shared = (own & template).total()
+                if 2 * shared >= threshold * (n + size):
+                    told[k].append((a, b - 1))
+                    yield name, kind, line, shared, n, size
+        places = defaultdict(list)
+        for h in hits:
+            for k in owners[grams[h]]:
+                places[k].append(h)
+        for k, where in places.items():
+            size, name, template = sized[k]
+            found = list(windows(where, grams, template, size, threshold))
+            # a unit tells of one passage, the one it has most of
+            known = set()
+            for a, b in told[k] if found else ():
+                near = range(max(0, bisect_left(found, (a,)) - 1), bisect_left(found, (b,)))
+                known.add(max(near, key=lambda w: min(b, found[w][1] + 1) - max(a, found[w][0]), default=None))
+            for w, (start, end, shared) in enumerate(found):
+                if w not in known:
+                    line = bisect_left(first, start + 1) - 1
+                    yield name, "window", line, shared, end - start + 1, size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                for kind, line, unit in units(text.as_py() or ""):
-                    words = plain_words(unit)
-                    n = len(words) - 1
-                    may = [t for t in sized if sizes_allow(n, t[0], threshold)] if n > 0 else []
-                    if not may or known.isdisjoint(zip(words, words[1:])):
-                        continue
-                    grams = bigrams(words)
-                    for size, name, template in may:
-                        shared = (grams & template).total()
-                        if 2 * shared >= threshold * (n + size):
-                            out.append((doc_id, name, kind, line, shared, n, size))
+                out += [(doc_id, *m) for m in matches(text.as_py() or "")]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _MATCH)], schema=_MATCH)
 

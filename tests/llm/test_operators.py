@@ -335,6 +335,44 @@ def test_licences_equal_brute_force(spark, docs, nothing):
     assert licences.licence_matches(nothing).count() == 0
 
 
+def test_licences_across_paragraphs_and_inside_lines(spark):
+    mit, header = licences.TEMPLATES["MIT"], licences.TEMPLATES["Apache-2.0 header"]
+    at = [mit.index("The above"), mit.index("THE SOFTWARE IS")]
+    mit = "\n\n".join([mit[: at[0]], mit[at[0] : at[1]], mit[at[1] :]])
+    header = header.replace(" You may obtain", "\n\nYou may obtain").replace(" Unless", "\n\nUnless").replace("either express", "\neither express")
+    notice, other = "Licensed under CC BY-NC 4.0.", prose(random.Random(3), 300)
+    rows = [
+        (1, f"{other}\n\n{mit}\n\n{other}"), (2, f"{other}\n\n{header}\n\n{other}"), (3, f"{other} {notice} {other}"), (4, f"{other}\n{notice}\n{other} {notice}\n{other}"),
+        (5, f"{other} {mit} {other} {mit}\n\n{mit} {other}"), (6, f"{other} licensed under cc {other}"), (7, f"{notice}\n{other} {notice} {notice}"),
+    ]
+    found = licences.licence_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    count = Counter((r.doc_id, r.licence, r.unit, r.first_line) for r in found if r.licence != "Apache-2.0 notice")
+    name = "CC-BY-NC-4.0 notice"
+    assert count == {
+        (1, "MIT", "window", 2): 1, (2, "Apache-2.0 header", "window", 2): 1, (3, name, "window", 0): 1, (4, name, "line", 1): 1, (4, name, "window", 2): 1,
+        (5, "MIT", "window", 0): 1, (5, "MIT", "window", 4): 1, (5, "MIT", "window", 10): 1, (7, name, "line", 0): 1, (7, name, "window", 1): 2,
+    }
+    assert all(r.n_shared == r.n_template for r in found if r.unit == "window")
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 1.0])
+def test_licence_windows_leave_none_out(threshold):
+    """Random words over a small alphabet against all windows by brute force."""
+    rng = random.Random(23)
+    for _ in range(300):
+        template = Counter(rng.choices("abcd", k=rng.randrange(1, 9)))
+        grams, size = rng.choices("abcdxyz", k=rng.randrange(0, 40)), template.total()
+        reaches = lambda a, b: 2 * (Counter(grams[a:b]) & template).total() >= threshold * (b - a + size)
+        found = list(licences.windows([k for k, g in enumerate(grams) if g in template], grams, template, size, threshold))
+        free, at = [], 0
+        for a, b, shared in found:
+            assert a >= at and reaches(a, b + 1) and shared == (Counter(grams[a : b + 1]) & template).total()
+            free.append((at, a))
+            at = b + 1
+        for x, y in [*free, (at, len(grams))]:
+            assert not any(reaches(a, b) for a in range(x, y) for b in range(a + 1, y + 1))
+
+
 # -- 6 token counts -------------------------------------------------------------------------------------------------
 
 
