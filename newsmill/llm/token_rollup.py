@@ -99,8 +99,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit(1, signed(old, 1))
     # a hash join at every size: labels grow with the documents, so they are never broadcast
     poor = docs.join(labels.filter("quality = 0").select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    cleaned = judge(poor).select("doc_id", F.col("clean_text").alias("text"))
-    revised = stored(token_counts(cleaned.join(poor.select("doc_id", "source", "lang"), "doc_id"), versions), "recounts")
+    # source and lang go along with each row: a join by id would multiply the rows of a repeated one
+    cleaned = judge(poor.withColumn("group", F.struct("source", "lang")), carry="group")
+    cleaned = cleaned.select("doc_id", "group.source", "group.lang", F.col("clean_text").alias("text"))
+    revised = stored(token_counts(cleaned, versions), "recounts")
     toxic = labels.filter("toxic = 1").select("doc_id")
     for _ in range(2):
         rollup.commit(2, changes(old, revised, toxic))

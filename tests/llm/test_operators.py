@@ -404,6 +404,21 @@ def test_rollup_equals_a_recount(spark, docs, tmp_path):
 # -- 7 byte-pair encoding -------------------------------------------------------------------------------------------
 
 
+def test_recounts_of_repeated_rows_count_each_once(spark, tmp_path):
+    text = "Some plain words that make up one whole line of text here, all in order."
+    rows = [(1, text, "en", "s0")] * 3 + [(1, text + " And more.", "de", "s1"), (2, text, "en", "s0")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    t = {v: Tokenizer.from_file(public_tokenizers.path(f)) for v, f in token_rollup.VERSIONS.items()}
+    expected = Counter()
+    for _, x, lang, source in rows:  # cleaning leaves these texts as they are
+        for v, tok in t.items():
+            expected[source, lang, v] += len(tok.encode(x, add_special_tokens=False).ids)
+    found = token_rollup.op6_token_counts(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang, r.version): r.n_tokens for r in found} == expected
+    assert {(r.source, r.lang): r.n_docs for r in found} == {("s0", "en"): 4, ("s1", "de"): 1}
+
+
 @pytest.mark.parametrize("name", [bpe.WORD_BPE, bpe.BYTE_BPE])
 def test_bpe_equals_the_library(spark, docs, nothing, name):
     df, rows = docs
