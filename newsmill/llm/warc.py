@@ -136,8 +136,6 @@ def _read_member(src, at: int, data: bytes = b"") -> tuple[dict[str, str], bytes
                 if not re.fullmatch(rb"WARC/\d\.\d", lines[0]) or not head.get("content-length", "").isdigit():
                     return None
                 need = end + 4 + int(head["content-length"])
-            elif len(plain) > 1 << 20:
-                return None
     if head is None or bytes(plain[need:]) != b"\r\n\r\n":
         return None
     return head, bytes(plain[need - int(head["content-length"]) : need]), src.tell() - len(inflate.unused_data)
@@ -239,12 +237,17 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0, split_bytes: int =
 
     One row per page row, also for repeated rows and null ids or urls; null html
     is an empty payload.  Other columns are not read; an empty table gives
-    archives without records.
+    archives without records.  Raises if the reader finds another number of records
+    than were written.
     """
     folder = new_folder(pages.sparkSession, "warc")
     uri = folder if "://" in folder else folder.replace("file:/", "file:///", 1) if folder.startswith("file:") else f"file://{folder}"
     files = stored(write_warc(plan_records(pages, min_bytes), uri), "warc-files")
-    return page_digests(read_warc(files, uri, split_bytes))
+    found = stored(page_digests(read_warc(files, uri, split_bytes)), "warc-digests")
+    written, read = files.agg(F.sum("n_records")).first()[0] or 0, found.count()
+    if read != written:
+        raise RuntimeError(f"{written} records were written to {folder}, but {read} read")
+    return found
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,6 +249,16 @@ def test_warc_round_trip_in_small_splits(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_keeps_pages_with_very_long_urls(spark, monkeypatch):
+    url = "http://a/" + random.Random(29).randbytes(1_500_000).hex()
+    df = spark.createDataFrame([(1, url, "<p>one</p>"), (2, "http://b/", "<p>two</p>")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.archive_round_trip(df).collect()) == [(1, 10), (2, 10)]
+    read = warc.read_warc
+    monkeypatch.setattr(warc, "read_warc", lambda *args: read(*args).filter("record_id <> 'urn:page:2'"))
+    with pytest.raises(RuntimeError, match="2 records were written"):
+        warc.archive_round_trip(df)
+
+
 def test_warc_reader_is_not_fooled_by_chance_magic():
     import io
 
