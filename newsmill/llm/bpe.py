@@ -14,7 +14,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +26,13 @@ from newsmill.llm.common import id_and_text, ship, table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
-#: Pieces of text whose ids a worker remembers; when there are more it forgets them all.
+#: Pieces of text, and pre-tokens, that a worker remembers in each of two generations.
 CACHE_PIECES = 300_000
 #: Characters of text that are split into pieces at a time.
 CHUNK_CHARS = 4_000_000
 #: Symbols of the words that are merged together; their trees should fit a core's cache.
 _CELLS = 1 << 15
 _NONE = np.iinfo(np.int64).max
-_FIRST, _SECOND = itemgetter(0), itemgetter(1)
-_EMPTY = np.empty(0, dtype=np.int64)
 #: The pattern that byte-level pre-tokenizing stands for in tokenizer files.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -46,6 +44,43 @@ def byte_letters() -> list[str]:
     return [spare.get(b, chr(b)) for b in range(256)]
 
 
+class Memory:
+    """What ``make`` works out of distinct keys, for those met lately.
+
+    When the young generation is full it becomes the old one; what is asked for again
+    moves from the old to the young, the rest goes with the next change.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list], most: int = CACHE_PIECES):
+        self.make, self.most = make, most
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def of(self, keys: list[str]) -> list:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = [k for k in keys if k not in young]
+        new = [k for k in missing if k not in old]
+        young.update((k, old[k]) for k in missing if k in old)
+        if new:
+            young.update(zip(new, self.make(new)))
+        return list(map(young.__getitem__, keys))
+
+
+def coded(lists: list[list[str]]) -> tuple[list[str], pa.Array, np.ndarray]:
+    """The distinct strings of all lists, each string's place among them in order, and where each list begins and ends."""
+    flat = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
+    return flat.dictionary.to_pylist(), flat.indices, np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
+
+
+def joined(values: list[bytes], places: pa.Array, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The values at ``places``, end to end, and where those of each list begin and end."""
+    taken = pa.array(values, pa.large_binary()).take(places)
+    offsets = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, dtype=np.int64)
+    return memoryview(taken.buffers()[2] or b""), offsets[ends]
+
+
 class Encoder:
     """A byte-level BPE tokenizer read from a tokenizers JSON file; text that spells a special token is one."""
 
@@ -72,6 +107,7 @@ class Encoder:
         self.splitter = _splitter(pattern)
         self.blank_free = r"\s+" not in pattern and " " not in pattern
         self.special_splitter = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
+        self.known_words = Memory(lambda words: [i.astype("<u4").tobytes() for i in self.encode_words(words)])
 
     def pieces(self, text: str) -> list[str]:
         """Parts of the normalised text that are encoded apart: the pre-tokens, or what lies between
@@ -89,12 +125,12 @@ class Encoder:
             return text.split()
         return self.splitter(text)
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of each piece."""
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of the distinct ``pieces``, as little-endian 32-bit bytes; their pre-tokens are remembered."""
         words = [[p] if p in self.specials else self.splitter(p) for p in pieces]
-        distinct = list(set().union(*words)) if words else []
-        ids = dict(zip(distinct, self.encode_words(distinct)))
-        return [ids[w[0]] if len(w) == 1 else np.concatenate([ids[x] for x in w] or [_EMPTY]) for w in words]
+        distinct = list(set().union(*words))
+        ids = dict(zip(distinct, self.known_words.of(distinct)))
+        return [ids[w[0]] if len(w) == 1 else b"".join([ids[x] for x in w]) for w in words]
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each pre-token."""
@@ -206,14 +242,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def remember(enc: Encoder, cache: dict, pieces: list[list[str]], value: Callable[[np.ndarray], object]) -> None:
-    """Fill ``cache`` with value(ids) of all pieces; it is emptied first if it has grown too large."""
-    if len(cache) > CACHE_PIECES:
-        cache.clear()
-    new = [p for p in set().union(*pieces) if p not in cache]
-    cache.update(zip(new, map(value, enc.encode_pieces(new))))
-
-
 def text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch of about CHUNK_CHARS characters, with their texts; null is empty."""
     start, size, texts = 0, 0, []
@@ -227,33 +255,47 @@ def text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[st
         yield batch.slice(start), texts
 
 
-@lru_cache(maxsize=4)
-def _remembered(path: str, use: str) -> dict:
-    return {}
+@lru_cache(maxsize=8)
+def memory(path: str, use: str) -> Memory:
+    """A worker's memory of pieces, which outlives tasks: their ids as bytes, their number of ids, or (number, decimal ids, tokens) with a space behind each."""
+    enc = encoder(path)
+
+    def digests(pieces: list[str]) -> list[tuple[int, bytes, bytes]]:
+        out = []
+        for raw in enc.encode_pieces(pieces):
+            ids = np.frombuffer(raw, dtype="<u4").tolist()
+            out.append((len(ids), "".join([f"{i} " for i in ids]).encode(), "".join([enc.tokens[i] + " " for i in ids]).encode()))
+        return out
+
+    make = {"ids": enc.encode_pieces, "lengths": lambda pieces: [len(raw) // 4 for raw in enc.encode_pieces(pieces)], "digests": digests}[use]
+    return Memory(make)
+
+
+def sums(values: list[int], places: pa.Array, ends: np.ndarray) -> np.ndarray:
+    """The sum of the values at ``places`` in each list."""
+    total = np.concatenate(([0], np.cumsum(np.array(values, dtype=np.int64)[places.to_numpy()])))
+    return total[ends[1:]] - total[ends[:-1]]
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's text.
 
     A null text is an empty one: no tokens, and both hashes are those of nothing.
-    Ids may be null or repeat; other columns are not read; whole texts are
-    encoded, however long.
+    Ids may be null or repeat; other columns are not read, so their names may be
+    any; whole texts are encoded, however long; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = encoder(path), _remembered(path, "text")
-        both = lambda ids: (" ".join(map(str, ids.tolist())), enc.decode(ids))
+        enc, known = encoder(path), memory(path, "digests")
         for batch in batches:
             for part, texts in text_chunks(batch):
-                pieces = [enc.pieces(t) for t in texts]
-                remember(enc, known, pieces, both)
-                n, ids, decoded = [], [], []
-                for found in pieces:
-                    pairs = list(filter(_FIRST, map(known.__getitem__, found)))
-                    joined = " ".join(map(_FIRST, pairs))
-                    n.append(joined.count(" ") + 1 if joined else 0)
-                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(" ".join(map(_SECOND, pairs)).encode()).hexdigest())
+                distinct, places, ends = coded([enc.pieces(t) for t in texts])
+                sizes, *values = zip(*known.of(distinct)) if distinct else ((), (), ())
+                n, digests = sums(sizes, places, ends), []
+                for value in values:
+                    data, at = joined(value, places, ends)
+                    digests.append([hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
+                ids, decoded = digests
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -267,12 +309,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of each row's text, with the rules of encode_digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, ids_of = encoder(path), _remembered(path, "arrays")
+        enc, known = encoder(path), memory(path, "ids")
         for batch in batches:
             for part, texts in text_chunks(batch):
-                pieces = [enc.pieces(t) for t in texts]
-                remember(enc, ids_of, pieces, lambda ids: ids)
-                ids = [np.concatenate([ids_of[w] for w in found] or [_EMPTY]) for found in pieces]
+                distinct, places, ends = coded([enc.pieces(t) for t in texts])
+                data, at = joined(known.of(distinct), places, ends)
+                ids = [np.frombuffer(data[a:b], dtype="<u4") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array(map(enc.decode, ids), pa.string())],
                     ["doc_id", "ids", "decoded"],
