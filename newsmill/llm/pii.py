@@ -21,7 +21,8 @@ ROUNDS = 8
 #: How often a number that falls out of its range is permuted again; each time leaves 2 of 100 at most.
 WALKS = 24
 
-_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+"
+#: Domains have 127 labels at most; a group repeated without bound would recurse for each of them.
+_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}+"
 _SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_+/-]{8,}+"
 _DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})(?![\d/]|-\d)"
 _ADDRESS = r"(?<![\d.])\d{1,3}+(?:\.\d{1,3}+){3}(?!\d|\.\d)"
@@ -69,8 +70,9 @@ _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABC
 def permuted_symbols(text: Column, key: str, kind: str) -> Column:
     """Letters and digits permuted inside their alphabets, a hexadecimal text inside its own; the rest stays in place.
 
-    The two halves of the symbols take turns: each symbol of one is shifted by
-    a keyed number drawn from the whole other half.
+    The two halves of the symbols take turns: in each round one digest is drawn
+    from the whole of one half, and each symbol of the other is shifted by a 32-bit
+    number drawn from the digest and its place, so the work grows with the length alone.
     """
     pure_hex = text.rlike(r"^[0-9a-f]+$") & text.rlike("[0-9]") & text.rlike("[a-f]")
 
@@ -81,24 +83,25 @@ def permuted_symbols(text: Column, key: str, kind: str) -> Column:
         )
 
     def permuted(t: Column) -> Column:
-        symbols = F.transform(t.chars, lambda c: F.struct(alphabet(c, t.is_hex).alias("of"), (F.position(c, alphabet(c, t.is_hex)) - 1).alias("at")))
-        return let(symbols, lambda s: let(F.struct(s.alias("s"), F.floor(F.size(s) / 2).cast("int").alias("half")), shifted))
+        return let(F.transform(t.chars, lambda c: alphabet(c, t.is_hex)), lambda of: let(F.struct(
+            of.alias("of"), F.transform(t.chars, lambda c, i: F.position(c, F.get(of, i)) - 1).alias("at"), F.floor(F.size(of) / 2).cast("int").alias("half"),
+        ), shifted))
 
     def shifted(t: Column) -> Column:
-        of = F.transform(t.s, lambda x: x.of)
-        at = F.transform(t.s, lambda x: x["at"])
+        first = lambda i: F.when(i < t.half, 0).otherwise(1)
 
         def step(now: Column, r: Column) -> Column:
             turn = F.pmod(r, F.lit(2))
-            fixed = F.concat_ws(",", F.transform(F.filter(now, lambda _, i: F.when(i < t.half, 0).otherwise(1) == turn), lambda d: d.cast("string")))
-            return let(fixed, lambda other: F.transform(
-                now, lambda d, i: F.when(F.when(i < t.half, 0).otherwise(1) == turn, d).otherwise(
-                    F.pmod(d + _draw(key, F.lit(kind), r, i, other), F.char_length(F.get(of, i))).cast("int")
-                ),
+            fixed = F.concat_ws(",", F.transform(F.filter(now, lambda _, i: first(i) == turn), lambda d: d.cast("string")))
+            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), fixed), 256)
+            blocks = lambda one: F.transform(F.sequence(F.lit(0), F.floor((F.size(now) - 1) / 8).cast("int")), lambda b: F.sha2(F.concat_ws("|", one, b.cast("string")), 256))
+            number = lambda drawn, i: F.conv(F.substr(F.get(drawn, F.floor(i / 8).cast("int")), F.pmod(i, F.lit(8)) * 8 + 1, F.lit(8)), 16, 10).cast("long")
+            return let(let(digest, blocks), lambda drawn: F.transform(
+                now, lambda d, i: F.when(first(i) == turn, d).otherwise(F.pmod(d + number(drawn, i), F.char_length(F.get(t.of, i))).cast("int")),
             ))
 
-        moved = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), at, step)
-        return let(moved, lambda m: F.array_join(F.transform(m, lambda d, i: F.substr(F.get(of, i), d + 1, F.lit(1))), ""))
+        moved = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), t["at"], step)
+        return let(moved, lambda m: F.array_join(F.transform(m, lambda d, i: F.substr(F.get(t.of, i), d + 1, F.lit(1))), ""))
 
     start = F.struct(F.split(text, "").alias("chars"), pure_hex.alias("is_hex"))
     return F.when(text == "", text).otherwise(let(start, permuted))
@@ -223,7 +226,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     A null text stays null and an empty one empty, with no values.  Values that
     fail their check stay.  Rows are taken one by one, so ids may be null or
-    repeat; an empty table gives an empty result.
+    repeat, and texts and values may be of any length; an empty table gives an empty result.
     """
     d = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text")

@@ -24,6 +24,8 @@ from newsmill.llm.common import new_folder, ship, stored, table
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 SPLIT_BYTES = 16 << 20
+#: Tasks that read at most; of more ranges several share one.
+MOST_TASKS = 100_000
 _BLOCK = 1 << 16
 _PREFIX = "urn:page:"
 _DATE = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -202,7 +204,9 @@ def read_warc(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) ->
     ranges = files.filter("size > 0").select(
         "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     )
-    ranges = ranges.repartition("path", "start")  # a task each, or a few
+    # an explicit number: adaptive execution would join the ranges, of some 80 bytes each, into one task
+    n_ranges = ranges.count()
+    ranges = ranges.repartition(max(1, min(n_ranges, MOST_TASKS)), "path", "start")
     return ranges.mapInArrow(run, ", ".join(f"{f.name} {_DDL[f.type]}" for f in _RECORDS))
 
 
@@ -236,7 +240,7 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0, split_bytes: int =
     """Write ``pages`` as archives in the shared folder and return what the reader finds in them.
 
     One row per page row, also for repeated rows and null ids or urls; null html
-    is an empty payload.  Other columns are not read; an empty table gives
+    is an empty payload, and payloads may be of any length.  Other columns are not read; an empty table gives
     archives without records.  Raises if the reader finds another number of records
     than were written.
     """
