@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -24,7 +23,7 @@ from newsmill.llm.common import id_and_text, ship, stored, table
 
 K = 10
 #: Coordinates of a sketch for each distinct term, rounded up to a power of two.
-WIDTH = 4
+WIDTH = 8
 #: Frequencies from here on are kept as this; their impact is bounded by that of an endless one.
 MOST = 255
 #: Distinct (item, term) pairs that are looked up together.
@@ -103,9 +102,10 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a binary column."""
-    sizes = pc.binary_length(column).to_numpy()
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    """Bytes and offsets of a binary column, neither copied."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", dtype=np.uint8), at
 
 
 def document_frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
@@ -136,6 +136,8 @@ class QueryBlock:
         self.terms = np.array(sorted({t for _, ts in held for t in ts}), dtype=np.int64)
         self.of_term = np.searchsorted(self.terms, np.array([t for _, ts in held for t in ts], dtype=np.int64))
         self.weight = np.array([weights[t] for _, ts in held for t in ts], dtype=np.int64)
+        self.wanted = [np.array(ts, dtype=np.int64) for _, ts in held]
+        self.weights = [np.array([weights[t] for t in ts], dtype=np.int64) for _, ts in held]
         sizes = np.array([len(ts) for _, ts in held], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
@@ -146,11 +148,12 @@ def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 def _score(block: QueryBlock, q: int, terms: np.ndarray, tfs: np.ndarray, m: int) -> int:
     """The exact score of one document, given by its sorted terms, for the q-th item."""
-    a, b = block.starts[q], block.starts[q + 1]
-    wanted = block.terms[block.of_term[a:b]]
-    at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
-    tf = np.where(terms[at] == wanted, tfs[at], 0).astype(np.int64)
-    return int((block.weight[a:b] * impact(tf, np.int64(m))).sum())
+    wanted = block.wanted[q]
+    at = terms.searchsorted(wanted)
+    at[at == len(terms)] = 0
+    found = np.flatnonzero(terms[at] == wanted)
+    tf = tfs[at[found]].astype(np.int64)
+    return int(block.weights[q][found] @ impact(tf, np.int64(m)))
 
 
 def search_block(index: DataFrame, block: QueryBlock, n_docs: int, n_terms: int, k: int) -> DataFrame:
