@@ -1,15 +1,12 @@
-"""Continuous forms of collection, health and failure operators; each agrees with its batch twin once the stream has ended."""
+"""Continuous forms of collection; each agrees with its batch twin once the stream has ended."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsmill import rules
-from newsmill.operators import collect as K, health as H, lifecycle as Y
-from newsmill.operators.listing import hours
+from newsmill.operators import collect as K
 
 
 def time_guard(stream: DataFrame, now: Column, date: str = "date", max_hours: int = rules.MAX_AGE_HOURS) -> DataFrame:
@@ -45,32 +42,3 @@ def _known(spark, memory: str, batch_id: int, url: str, batch: DataFrame) -> Dat
     schema = f"`{url}` string, decision string, batch_id long"
     seen = spark.read.schema(schema).parquet(memory)
     return seen.filter((F.col("batch_id") < batch_id) & (F.col("decision") == "inserted")).select(url)
-
-
-def snapshot_stream(events: DataFrame, fold: Callable[[DataFrame], DataFrame], log: str, out: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Appends each micro-batch of events to ``log`` and writes ``fold`` of all of them as the snapshot of that batch.
-
-    The state is the log itself, in the shared folder; a repeated batch replaces
-    itself there.  The newest ``batch_id`` below ``out`` is the current snapshot.
-    """
-
-    def one(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
-        spark = batch.sparkSession
-        everything = spark.read.schema(batch.schema).parquet(log)
-        fold(everything).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-
-
-def source_health_stream(checks: DataFrame, log: str, out: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    return snapshot_stream(checks, H.source_health, log, out, checkpoint, trigger)
-
-
-def failure_policy_stream(failures: DataFrame, log: str, out: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    return snapshot_stream(failures, Y.failure_policy, log, out, checkpoint, trigger)
-
-
-def progress_stream(reports: DataFrame, log: str, out: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Stage rows of every processing cycle."""
-    return snapshot_stream(reports, H.cycle_stages, log, out, checkpoint, trigger)

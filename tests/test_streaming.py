@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsmill.operators import collect as K, health as H, lifecycle as Y
 from newsmill.plans import fixtures as X
-from newsmill.streaming import collection as C
+from newsmill.streaming import collection as C, state as S
 
 ONCE = {"availableNow": True}
 
@@ -25,23 +25,25 @@ def run(query):
     assert query.awaitTermination(240)
 
 
-def newest(spark, out, schema):
-    d = spark.read.schema(schema + ", batch_id long").parquet(str(out))
-    return d.filter(F.col("batch_id") == d.agg(F.max("batch_id")).first()[0]).drop("batch_id")
-
-
-@pytest.mark.parametrize(("table", "start", "fold"), [
-    (X.checks, C.source_health_stream, H.source_health), (X.failures, C.failure_policy_stream, Y.failure_policy),
+@pytest.mark.parametrize(("table", "start", "fold", "keys"), [
+    (X.checks, S.source_health_stream, H.source_health, ["source_id"]), (X.failures, S.failure_policy_stream, Y.failure_policy, ["article_id", "stage"]),
+    (X.stage_events, S.progress_stream, H.cycle_stages, ["cycle_id", "stage"]),
 ])
-def test_snapshots_equal_the_batch(spark, sf_dir, tmp_path, table, start, fold):
-    events = table(spark, sf_dir).orderBy("ts")
-    events.write.parquet(str(tmp_path / "all"))
-    events = spark.read.parquet(str(tmp_path / "all"))
-    run(start(streamed(spark, events, tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "ck"), ONCE))
-    batch = fold(events)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
-    found = newest(spark, tmp_path / "out", schema).select(*batch.columns)
-    rounded = lambda d: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in d.collect())
+def test_states_equal_the_batch_after_a_restart(spark, sf_dir, tmp_path, table, start, fold, keys):
+    table(spark, sf_dir).repartition(1).write.parquet(str(tmp_path / "all"))
+    events = spark.read.parquet(str(tmp_path / "all")).withColumn("_part", F.pmod(F.xxhash64(*[F.col(k) for k in ("ts", keys[0])]), F.lit(4)))
+    read, places = [], [str(tmp_path / p) for p in ("out", "ck")]
+    for turn in ((0, 1), (2, 3)):  # the second turn starts from the checkpoint of the first; its rows are not later ones
+        for part in turn:
+            events.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(events.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = start(stream, *places, ONCE)
+        run(query)
+        read += [p.numInputRows for p in query.recentProgress if p.numInputRows]
+    assert sorted(read) == sorted(events.groupBy("_part").count().toPandas()["count"].tolist())  # each batch reads its own rows only
+    batch = fold(events.drop("_part"))
+    found = S.states(spark, places[0], batch.schema, keys)
+    rounded = lambda d: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in d.select(*batch.columns).collect())
     assert rounded(found) == rounded(batch)
 
 
