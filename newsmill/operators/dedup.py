@@ -8,54 +8,74 @@ from newsmill import rules
 from newsmill.functions import text as T
 from newsmill.session import cut_lineage
 
-_Q = 3
+#: Substrings are as long as the segments of the shorter keys; from this length on those have five or six characters.
+_LONG = 48
 
 
-def _gram_list(key: Column) -> Column:
-    places = F.sequence(F.lit(1), F.greatest(F.length(key) - _Q + 1, F.lit(1)))
-    return F.transform(places, lambda i: F.substr(key, i, F.lit(_Q)))
+def _segments(keys: DataFrame, percent: int) -> DataFrame:
+    """(hash, at, k, n): each key cut into one segment more than the edits to its longest partner, so one of them is left whole."""
+    n = F.col("n")
+    count = F.floor(n * (100 - percent) / percent).cast("int") + 1  # the longer key may have length / 0.85
+    cut = lambda i: F.floor(n * i / count).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(cut(i).alias("at"), F.xxhash64(F.slice("chars", cut(i) + 1, cut(i + 1) - cut(i))).alias("hash")))
+    return keys.select("k", "n", F.explode(pieces).alias("s")).select("s.hash", "s.at", "k", "n")
 
 
-def _grams(keys: DataFrame) -> DataFrame:
-    """(k, n, gram): every q-gram of each key, told apart by its occurrence; long keys travel by their hash."""
-    g = keys.select("k", "n", F.explode(_gram_list(F.col("key"))).alias("_g")).groupBy("k", "n", "_g").agg(F.count("*").alias("_n"))
-    return g.select("k", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.concat_ws("#", i, "_g"))).alias("gram"))
+def _substrings(keys: DataFrame, percent: int) -> DataFrame:
+    """(hash, at, k, n): every substring that could be a segment of a shorter key."""
+    sizes = F.when(F.col("n") >= _LONG, F.array(F.lit(5), F.lit(6))).otherwise(F.array(*map(F.lit, (3, 4, 5, 6))))
+    d = keys.select("k", "n", "chars", F.explode(sizes).alias("size")).filter("size <= n")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("chars", i + 1, F.col("size"))).alias("hash")))
+    return d.select("k", "n", F.explode(pieces).alias("s")).select("s.hash", "s.at", "k", "n")
 
 
-def _prefix(grams: DataFrame, frequency: DataFrame, percent: int) -> DataFrame:
-    """Of each key the rarest grams, one more than its edits can destroy: keys within the edit budget share one of them."""
-    w = Window.partitionBy("k").orderBy("_f", "gram")
-    edits = F.floor(F.col("n") * (100 - percent) / percent)  # the longer title may have length / 0.85
-    return grams.join(frequency, "gram").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= _Q * edits + 1).select("k", "n", "gram")
+def _steps(n: Column, percent: int) -> Column:
+    """Keys of similar length are on the same step of a scale or on neighbouring ones."""
+    return F.floor(F.log(n) / -F.log(F.lit(percent / 100))).cast("int")
+
+
+def _candidates(short: DataFrame, long: DataFrame, percent: int, strict: bool) -> DataFrame:
+    """(ks, kl): pairs that share a segment of the shorter key at places which that many edits can bring together.
+
+    The join is by segment and length step; lengths and places are checked at once.
+    """
+    s = _segments(short, percent).select("hash", F.col("at").alias("at_s"), F.col("k").alias("ks"), F.col("n").alias("ns"), _steps(F.col("n"), percent).alias("step"))
+    step = _steps(F.col("n"), percent)
+    t = _substrings(long, percent).select("hash", F.col("at").alias("at_l"), F.col("k").alias("kl"), F.col("n").alias("nl"), F.explode(F.array(step, step - 1)).alias("step"))
+    budget, longer = T.edit_budget(F.col("nl"), percent), F.col("nl") - F.col("ns")
+    shift = F.col("at_l") - F.col("at_s")
+    fits = (longer >= (1 if strict else 0)) & (longer <= budget) & (2 * shift <= budget + longer) & (-2 * shift <= budget - longer) & (F.col("ks") != F.col("kl"))
+    return s.join(t, ["hash", "step"]).filter(fits).select("ks", "kl").distinct()
 
 
 def similar_keys(left: DataFrame, right: DataFrame, percent: int = rules.SIMILARITY_PERCENT) -> DataFrame:
     """(left_key, right_key, similarity) of the distinct keys whose edit similarity is at least ``percent``.
 
-    Exact, without comparing all pairs: an edit destroys at most three trigrams,
-    so similar keys share one of their rarest; lengths, the trigrams lost and
-    then the edit distance decide.  Keys shorter than seven characters only
-    match themselves.  Equal keys match by a join of their own.
+    Exact, without comparing all pairs.  Titles are collapsed to distinct keys.  The
+    shorter key of a pair is cut into one segment more than the edits allowed, so at
+    least one is found unchanged in the longer, shifted by no more than the edits;
+    candidates are verified by an edit distance that stops beyond the budget.  Keys
+    shorter than six characters only match themselves.  Equal keys match by a join of their own.
     """
 
     def keyed(d: DataFrame) -> DataFrame:
         d = d.select(F.col(d.columns[0]).alias("key")).filter("key <> ''").distinct()
         return d.select(F.md5("key").alias("k"), F.length("key").alias("n"), "key")
 
-    a, b = cut_lineage(keyed(left)), cut_lineage(keyed(right))
-    ga, gb = _grams(a.filter("n >= 6")), _grams(b.filter("n >= 6"))
-    frequency = ga.select("gram").unionAll(gb.select("gram")).groupBy("gram").agg(F.count("*").alias("_f"))
-    mine = _prefix(ga, frequency, percent).select(F.col("k").alias("ka"), F.col("n").alias("na"), "gram")
-    other = _prefix(gb, frequency, percent).select(F.col("k").alias("kb"), F.col("n").alias("nb"), "gram")
-    long = F.greatest("na", "nb")
-    pairs = mine.join(other, "gram").filter((F.col("ka") != F.col("kb")) & (F.abs(F.col("na") - F.col("nb")) <= T.edit_budget(long, percent)))
-    pairs = pairs.select("ka", "kb").distinct()
+    same_side = left is right
+    a = cut_lineage(keyed(left))
+    b = a if same_side else cut_lineage(keyed(right))
+    chars = lambda d: d.filter("n >= 6").select("k", "n", F.split("key", "").alias("chars"))
+    ca, cb = chars(a), chars(b)
+    pairs = _candidates(ca, cb, percent, strict=False).select(F.col("ks").alias("ka"), F.col("kl").alias("kb"))
+    if same_side:
+        pairs = pairs.unionAll(pairs.select(F.col("kb"), F.col("ka"))).distinct()
+    else:
+        pairs = pairs.unionAll(_candidates(cb, ca, percent, strict=True).select(F.col("kl").alias("ka"), F.col("ks").alias("kb")))
     pairs = pairs.join(a.select(F.col("k").alias("ka"), F.col("key").alias("left_key")), "ka").join(b.select(F.col("k").alias("kb"), F.col("key").alias("right_key")), "kb")
-    # each edit takes at most three distinct trigrams away; only pairs that pass this cheap test are compared in full
-    lost = F.size(F.array_except(_gram_list(F.col("left_key")), _gram_list(F.col("right_key"))))
     longest = F.greatest(F.length("left_key"), F.length("right_key"))
-    distance = F.levenshtein("left_key", "right_key")
-    near = pairs.select("left_key", "right_key", F.when(lost <= _Q * T.edit_budget(longest, percent), 1 - distance / longest).alias("similarity"))
+    distance = F.call_function("levenshtein", F.col("left_key"), F.col("right_key"), T.edit_budget(longest, percent).cast("int"))
+    near = pairs.withColumn("distance", distance).filter("distance >= 0").select("left_key", "right_key", (1 - F.col("distance") / longest).alias("similarity"))
     near = near.filter(F.col("similarity") * 100 >= percent)
     same = a.join(b.select("k"), "k").select(F.col("key").alias("left_key"), F.col("key").alias("right_key"), F.lit(1.0).alias("similarity"))
     return near.unionAll(same)
@@ -96,7 +116,8 @@ def dedup_in_batch(rows: DataFrame, order: str, url_key: Column, title_key: Colu
     so no pairs of rows are formed.
     """
     d = rows.withColumns({"_url": url_key, "_title": title_key, "_kept": F.lit(None).cast("boolean")})
-    pairs = similar_keys(d.select("_title"), d.select("_title")).filter("left_key <> right_key").select("left_key", "right_key")
+    titles = d.select("_title")
+    pairs = similar_keys(titles, titles).filter("left_key <> right_key").select("left_key", "right_key")
     d, pairs = cut_lineage(d), cut_lineage(pairs)
     while d.filter("_kept is null").limit(1).count():
         live = d.filter("_kept is null or _kept")
