@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsmill import rules
 from newsmill.functions import text as T, urls as U
+from newsmill.operators.skew import bucketed_rank
 
 
 def page_signals(pages: DataFrame) -> DataFrame:
@@ -16,6 +17,12 @@ def page_signals(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", links.alias("links"), U.all_dois(F.col("html")).alias("dois"), repo.alias("repo"), text.alias("page_text"))
 
 
+def with_signals(articles: DataFrame, signals: DataFrame) -> DataFrame:
+    """All articles with their page's signals (id, links, dois, repo, page_text); one without a fetched page has no links, DOIs, repository or text."""
+    none = F.array().cast("array<string>")
+    return articles.join(signals, "id", "left").withColumns({"links": F.coalesce("links", none), "dois": F.coalesce("dois", none)})
+
+
 def enrich_signals(articles: DataFrame, hits: DataFrame, doi_scores: DataFrame, repos: DataFrame) -> DataFrame:
     """Adds hn_points, altmetric and the repository's figures to articles (original_url, title, hn_points, links, dois, repo).
 
@@ -40,20 +47,26 @@ def enrich_signals(articles: DataFrame, hits: DataFrame, doi_scores: DataFrame,
 def gate_and_cap(scored: DataFrame, approved_today: Column, cap: int = 0, gate: int = rules.SCORE_GATE) -> DataFrame:
     """Adds ``decision`` to all rows: approved, rejected-daily-cap or rejected-low-score.
 
-    Without a cap nothing is ranked; with one, only the best ``cap`` rows are,
-    by a top-k that keeps ``cap`` rows a task.
+    Without a cap nothing is ranked.  With one, the rows of each score are counted;
+    scores that fit whole are approved whole, and only the rows of the one score at
+    which the room ends are ranked, day by day, newest first.  What is broadcast has one
+    row for each whole score.
     """
     passes = F.coalesce(F.col("score") >= gate, F.lit(False))
     if cap <= 0:
         return scored.withColumn("decision", F.when(passes, "approved").otherwise("rejected-low-score"))
-    order = [F.col("score").desc(), F.col("created_at").desc(), F.col("id").desc()]
-    best = scored.filter(passes).select("id", "score", "created_at").orderBy(*order).limit(cap)
-    best = best.agg(F.sort_array(F.collect_list(F.struct("score", "created_at", "id")), asc=False).alias("_best"))
-    best = best.select(F.posexplode("_best").alias("_place", "_row")).filter(F.col("_place") < F.lit(cap) - approved_today)
-    best = best.select(F.col("_row.id").alias("id"), F.lit(True).alias("_in"))
-    d = scored.join(F.broadcast(best), "id", "left")  # at most ``cap`` rows
-    decision = F.when(F.col("_in"), "approved").when(passes, "rejected-daily-cap").otherwise("rejected-low-score")
-    return d.withColumn("decision", decision).drop("_in")
+    room = F.lit(cap) - approved_today
+    passing = scored.filter(passes).select("id", "score", "created_at")
+    before = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = passing.groupBy("score").agg(F.count("*").alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    last = counts.filter((F.col("_above") < room) & (F.col("_above") + F.col("_n") > room)).select("score", "_above")
+    day = -F.unix_date(F.col("created_at").cast("date"))
+    ranked = bucketed_rank(passing.join(F.broadcast(last), "score"), [], [F.col("created_at").desc(), F.col("id").desc()], day)
+    within = ranked.filter(F.col("rank") <= room - F.col("_above")).select("id", F.lit(True).alias("_in"))
+    d = scored.join(within, "id", "left").join(F.broadcast(counts), "score", "left")
+    approved = passes & (F.coalesce(F.col("_above") + F.col("_n") <= room, F.lit(False)) | F.col("_in").isNotNull())
+    decision = F.when(approved, "approved").when(passes, "rejected-daily-cap").otherwise("rejected-low-score")
+    return d.withColumn("decision", decision).drop("_in", "_n", "_above")
 
 
 def approved_today(news: DataFrame, now: Column, gate: int = rules.SCORE_GATE) -> Column:

@@ -28,8 +28,8 @@ def page_signals(spark, d):
 
 _SRC = ["arxiv", "nature", "mit-tech-review", "src"]
 _ENR = f"""{_SIG}, art as (select n.id, n.title, n.section, n.is_science, n.original_url, {X._sql_list(_SRC)}[n.id % 4 + 1] as source, n.id % 60 as trending_rank,
- case when n.id % 4 = 3 then cast(n.id % 50 as int) end as pre_points, s.links, s.dois, s.page_text,
- list_filter(list_transform(s.links, lambda x: nullif(regexp_extract(x, {_REPO}, 1), '')), lambda x: x is not null)[1] as repo from news_fx n join sig s on s.page_id = n.id),
+ case when n.id % 4 = 3 then cast(n.id % 50 as int) end as pre_points, coalesce(s.links, []::varchar[]) as links, coalesce(s.dois, []::varchar[]) as dois, s.page_text,
+ list_filter(list_transform(s.links, lambda x: nullif(regexp_extract(x, {_REPO}, 1), '')), lambda x: x is not null)[1] as repo from news_fx n left join sig s on s.page_id = n.id),
 hu as (select url, max(points) as p from hits_fx where url is not null group by url), ht as (select title, max(points) as p from hits_fx where title is not null group by title),
 ds as (select lower(doi) as doi, cast(floor(max(score) + 0.5) as int) as altmetric from doi_scores_fx group by 1),
 enr as (select a.*, coalesce(pre_points, nullif(hu.p, 0), ht.p, hu.p) as hn_points, ds.altmetric, r.stars, r.license, r.created_at as repo_created_at, r.description as repo_description, r.topics as repo_topics,
@@ -44,7 +44,8 @@ def enriched(spark, d):
         (i % 60).alias("trending_rank"), F.when(i % 4 == 3, (i % 50).cast("int")).alias("hn_points"),
     )
     signals = V.page_signals(X.pages(spark, d)).drop("url")
-    return V.enrich_signals(articles.join(signals, F.col("id") == F.col("page_id")).drop("page_id"), X.hits(spark, d), X.doi_scores(spark, d), X.repos(spark, d))
+    articles = V.with_signals(articles, signals.withColumnRenamed("page_id", "id"))
+    return V.enrich_signals(articles, X.hits(spark, d), X.doi_scores(spark, d), X.repos(spark, d))
 
 
 @query("enrich_signals", f"with {_ENR} select id, hn_points, altmetric, repo, stars, license, repo_found from enr")

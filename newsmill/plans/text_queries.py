@@ -30,6 +30,13 @@ def title_similarity(spark, d):
     return X.news(spark, d).select("id", F.round(T.title_similarity(a, b), 6).alias("similarity"))
 
 
+@query("title_similarity_whole")
+def title_similarity_whole(spark, d):
+    """As title_similarity, over all letters; SQL's edit distance would count bytes, so a test compares it with brute force."""
+    a, b = F.lower(T.trim_ws(c("title"))), F.lower(T.trim_ws(T.or_empty(c("original_title"))))
+    return X.news(spark, d).select("id", F.round(T.title_similarity(a, b), 6).alias("similarity"))
+
+
 @query("normalize_url", f"select page_id, {S.norm_url('url')} as url_key from pages")
 def normalize_url(spark, d):
     return X.table(spark, d, "pages").select("page_id", U.normalize_url(c("url")).alias("url_key"))

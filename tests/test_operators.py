@@ -104,3 +104,29 @@ def test_upsert_and_cap(spark):
     rows = spark.createDataFrame([(i, s, "2024-01-01") for i, s in enumerate([90, 80, 80, 40, None, 70])], "id long, score int, created_at string")
     found = {r.id: r.decision for r in V.gate_and_cap(rows, F.lit(1), 3).collect()}
     assert found == {0: "approved", 2: "approved", 1: "rejected-daily-cap", 5: "rejected-daily-cap", 3: "rejected-low-score", 4: "rejected-low-score"}
+
+
+def test_large_caps_are_the_rank(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([None, 40, 50, 55, 55, 55, 80]), f"2024-01-{rng.randint(1, 9):02} 0{rng.randint(0, 9)}:00:00") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, score int, t string").select("id", "score", F.col("t").cast("timestamp_ntz").alias("created_at"))
+    order = sorted((r for r in rows if r[1] is not None and r[1] >= 50), key=lambda r: (r[1], r[2], r[0]), reverse=True)
+    for cap in (1, 7, 60, 150, 1_000_000):
+        found = {r.id: r.decision for r in V.gate_and_cap(df, F.lit(1), cap).collect()}
+        assert len(found) == len(rows)
+        assert {i for i, d in found.items() if d == "approved"} == {r[0] for r in order[: max(0, cap - 1)]}
+        assert {i for i, d in found.items() if d == "rejected-low-score"} == {r[0] for r in rows if r[1] is None or r[1] < 50}
+
+
+def test_whole_titles_are_compared(spark, sf_dir):
+    from newsmill.plans import fixtures as X, load
+
+    titles_ = {r.id: (r.title, r.original_title) for r in X.news(spark, sf_dir).select("id", "title", "original_title").collect()}
+    found = load().QUERIES["title_similarity_whole"](spark, sf_dir).collect()
+    short = {r.id: r.similarity for r in found if len(titles_[r.id][0] or "") <= 200}
+    assert len(found) == len(titles_) and any("ИИ" in (titles_[i][0] or "") for i in short)
+    blank = " \t\n\x0b\f\r"
+    for i, similarity in short.items():
+        a, b = ((t or "").strip(blank).lower() for t in titles_[i])
+        longest = max(len(a), len(b))
+        assert abs(similarity - (1.0 if longest == 0 else 1 - lev(a, b) / longest)) < 1e-5, (a, b)
