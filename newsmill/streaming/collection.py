@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsmill import rules
 from newsmill.operators import collect as K
+from newsmill.sources.url_memory import UrlMemory
 
 
 def time_guard(stream: DataFrame, now: Column, date: str = "date", max_hours: int = rules.MAX_AGE_HOURS) -> DataFrame:
@@ -21,24 +22,17 @@ def first_per_url(guarded: DataFrame, url: str = "link") -> DataFrame:
 
 
 def collect_stream(candidates: DataFrame, memory: str, checkpoint: str, now: Column, trigger: dict, url: str = "link", order: str = "item_id") -> StreamingQuery:
-    """Collects each micro-batch against the table of known rows at ``memory`` and appends all decisions to it.
+    """Collects each micro-batch against the URL memory at ``memory`` and appends all decisions to it.
 
-    A batch has a folder of its own, so one that runs again after a failure
-    replaces itself and never meets its own rows.  ``trigger`` is what
-    writeStream.trigger takes, such as {"processingTime": "5 minutes"}.
+    Only URLs that the memory's sketch may hold meet its rows.  A batch is committed
+    under its id, so one that runs again after a failure adds nothing and never
+    meets its own rows.  ``trigger`` is what writeStream.trigger takes, such as
+    {"processingTime": "5 minutes"}.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _known(spark, memory, batch_id, url, batch)
-        K.collect(batch, known, now, url, order).write.mode("overwrite").parquet(f"{memory}/batch_id={batch_id}")
+        seen = UrlMemory(batch.sparkSession, memory, url)
+        if not seen.holds(batch_id):
+            seen.append(batch_id, K.collect(batch, seen.known(batch.select(url)), now, url, order), F.col("decision") == "inserted")
 
     return candidates.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-
-
-def _known(spark, memory: str, batch_id: int, url: str, batch: DataFrame) -> DataFrame:
-    if batch_id == 0:
-        return batch.select(url).limit(0)
-    schema = f"`{url}` string, decision string, batch_id long"
-    seen = spark.read.schema(schema).parquet(memory)
-    return seen.filter((F.col("batch_id") < batch_id) & (F.col("decision") == "inserted")).select(url)

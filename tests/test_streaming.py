@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsmill.operators import collect as K, health as H, lifecycle as Y
 from newsmill.plans import fixtures as X
+from newsmill.sources.url_memory import UrlMemory
 from newsmill.streaming import collection as C, state as S
 
 ONCE = {"availableNow": True}
@@ -51,7 +52,7 @@ def test_collection_inserts_each_url_once(spark, sf_dir, tmp_path):
     K.feed_candidates(X.feed_items(spark, sf_dir), X.now()).write.parquet(str(tmp_path / "all"))
     rows = spark.read.parquet(str(tmp_path / "all"))
     run(C.collect_stream(streamed(spark, rows, tmp_path / "in"), str(tmp_path / "memory"), str(tmp_path / "ck"), X.now(), ONCE))
-    decided = spark.read.parquet(str(tmp_path / "memory"))
+    decided = UrlMemory(spark, str(tmp_path / "memory")).rows()
     assert decided.count() == rows.count()
     inserted = decided.filter("decision = 'inserted'")
     assert inserted.count() == inserted.select("link").distinct().count() == K.time_guard(rows, X.now()).select("link").distinct().count()
@@ -64,3 +65,19 @@ def test_guard_and_first_per_url(spark, sf_dir, tmp_path):
     run(stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(**ONCE).start())
     out = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
     assert out.count() == K.time_guard(rows, X.now()).select("link").distinct().count()
+
+
+def test_memory_equals_the_anti_join(spark, tmp_path):
+    urls = lambda a, b: spark.range(a, b).select(F.concat(F.lit("http://a.net/"), F.col("id")).alias("link"))
+    memory = UrlMemory(spark, str(tmp_path / "memory"), n_blocks=512)
+    assert memory.known(urls(0, 10)).count() == 0 and memory.rows() is None
+    assert memory.append(0, urls(0, 5000).withColumn("ok", F.col("link").endswith("7")), F.col("ok"))
+    assert not memory.append(0, urls(0, 1).withColumn("ok", F.lit(True)))
+    assert memory.append(1, urls(5000, 9000).unionAll(spark.createDataFrame([(None,)], "link string")).withColumn("ok", F.lit(False)), F.lit(None).cast("boolean") | F.col("ok"))
+    assert memory.append(2, urls(9000, 15000).withColumn("ok", F.lit(True)))
+    asked = urls(0, 30_000).unionAll(urls(0, 100))
+    expected = asked.distinct().join(memory.rows().filter("ok").select("link"), "link", "left_semi")
+    found = memory.known(asked)
+    assert found.exceptAll(expected).count() == expected.exceptAll(found).count() == 0 and found.count() == 500 + 6000
+    assert memory.false_positive_rate(asked) < 0.01
+    assert "BroadcastHashJoin" in memory.possible(asked)._jdf.queryExecution().toString()
