@@ -10,7 +10,7 @@ import corpus_pipeline
 from newsmill.llm import queries
 from newsmill.llm.common import stored, table
 
-TABLES = "documents embeddings pages".split()
+TABLES = "documents embeddings pages benchmark labels".split()
 
 
 def test_stages_keep_the_columns_and_drop_what_they_should(spark, sf_dir):
