@@ -10,6 +10,7 @@ _MODULES = [
     "evaluation_queries",
     "dedup_queries",
     "digest_queries",
+    "search_queries",
 ]
 
 

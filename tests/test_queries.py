@@ -12,7 +12,7 @@ import __spark_entry__ as entry_point
 from newsmill.plans import load
 
 OWN = dict(load().QUERIES)
-EAGER = {"dedup_in_batch", "title_similarity_join", "dedup_against_history"}
+EAGER = {"dedup_in_batch", "title_similarity_join", "dedup_against_history", "fts_indexed", "fts_stemmed", "index_stems"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -49,7 +49,7 @@ def test_model_answers_are_parsed_once(spark, sf_dir):
     assert plan(OWN["save_summary"](spark, sf_dir)).count("regexp_extract(") <= 12
 
 
-@pytest.mark.parametrize("name", ["news_page", "unread_counts", "classify_article", "collect", "source_health", "score_article", "manifest_summary", "llm_responses"])
+@pytest.mark.parametrize("name", ["news_page", "unread_counts", "classify_article", "collect", "source_health", "score_article", "manifest_summary", "llm_responses", "fts_indexed"])
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
