@@ -11,6 +11,7 @@ _MODULES = [
     "dedup_queries",
     "digest_queries",
     "search_queries",
+    "table_queries",
 ]
 
 

@@ -37,3 +37,13 @@ def records(spark: SparkSession, folder: str) -> dict[str, str]:
         return {}
     rows = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1), "value").collect()
     return {name: value for name, value in rows}
+
+
+def latest(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    """The record of the largest number, or None if there is none; only that one is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = [int(n) for n in (s.getPath().getName() for s in store.listStatus(path)) if n.isdigit()] if store.exists(path) else []
+    if not numbers:
+        return None
+    return max(numbers), spark.read.text(f"{folder}/{max(numbers)}", wholetext=True).first()[0]
