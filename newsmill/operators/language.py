@@ -1,44 +1,87 @@
-"""Language of a text by ranked trigrams, with profiles that a Spark job trains."""
+"""Language of a text by its trigrams, with weights that a Spark job trains."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsmill.functions import text as T
 
+#: Trigrams that each language brings into the profiles: the size of the model, not of the texts.
 PROFILE_GRAMS = 300
 MIN_CHARS = 20
+_SLOTS = 4096
+_SALTS = 32
 
 
-def _trigrams(texts: DataFrame, *keep: str) -> DataFrame:
-    """(keep, gram) of every trigram of letters; the letters are a column of their own, or each trigram would compute them anew."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(T.or_empty(F.col("text"))), r"[^\p{L}]+", " "), F.lit(" "))
-    d = texts.select(*keep, F.split(plain, "").alias("_t"))
-    places = F.sequence(F.lit(0), F.greatest(F.size("_t") - 3, F.lit(0)))
-    grams = F.transform(places, lambda i: F.concat_ws("", *[F.get("_t", i + k) for k in range(3)]))
-    return d.select(*keep, F.explode(grams).alias("gram")).filter(F.trim("gram") != "")
+def _letters(text: Column) -> Column:
+    return F.split(F.concat(F.lit(" "), F.regexp_replace(F.lower(T.or_empty(text)), r"[^\p{L}]+", " "), F.lit(" ")), "")
 
 
-def _ranked(counts: DataFrame, key: str, top: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col("n").desc(), "gram")
-    return counts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select(key, "gram", "place")
+def _places() -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size("_t") - 3, F.lit(0)))
+
+
+def _gram(i: Column) -> Column:
+    return F.concat_ws("", *[F.get("_t", i + k) for k in range(3)])
 
 
 def language_profiles(labelled: DataFrame, top: int = PROFILE_GRAMS) -> DataFrame:
-    """(lang, gram, place): the ``top`` most frequent trigrams of each language in (lang, text)."""
-    grams = _trigrams(labelled.filter("lang is not null"), "lang")
-    return _ranked(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")), "lang", top)
+    """(lang, gram, n, total): counts in every language of the trigrams that are among the ``top`` of any, and of all its trigrams.
+
+    Counts cover all of (lang, text).  The commonest are first chosen inside
+    shares of a language's trigrams, so no task ranks a whole language.
+    """
+    d = labelled.filter("lang is not null").select("lang", _letters(F.col("text")).alias("_t"))
+    counts = d.select("lang", F.explode(F.transform(_places(), _gram)).alias("gram")).filter(F.trim("gram") != "").groupBy("lang", "gram").agg(F.count("*").alias("n"))
+
+    def best(rows: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "gram")
+        return rows.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= top).drop("_place")
+
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64("gram"), F.lit(_SALTS).cast("long")))
+    chosen = best(best(salted, "lang", "_salt"), "lang").select("gram").distinct()
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    # top trigrams and one row for each language: both sides are bounded by the number of languages
+    return counts.join(F.broadcast(chosen), "gram", "left_semi").join(F.broadcast(totals), "lang").select("lang", "gram", "n", "total")
 
 
-def detect_language(texts: DataFrame, profiles: DataFrame, key: str = "doc_id", top: int = PROFILE_GRAMS) -> DataFrame:
-    """(key, language): the language of least rank distance; ``unknown`` below 20 characters or without any known trigram.
+def _model(profiles: DataFrame) -> DataFrame:
+    """One row: the languages in order, and in slots by hash each trigram's weights in that order, with a 1 at the end that counts the trigrams met."""
+    languages = profiles.groupBy("lang").agg(F.max("total").alias("total")).agg(F.array_sort(F.collect_list(F.struct("lang", "total"))).alias("languages"))
+    counts = profiles.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("_n"))
+    counts = counts.withColumn("_g", languages.scalar())
+    known = F.transform("_g", lambda g: F.floor(1000 * F.ln((F.coalesce(F.element_at("_n", g["lang"]), F.lit(0)) + 0.5) / g["total"])))
+    slots = counts.select(_slot(F.col("gram")).alias("slot"), F.struct("gram", F.concat(known, F.array(F.lit(1).cast("long"))).alias("w")).alias("e")).groupBy("slot").agg(F.collect_list("e").alias("es"))
+    every = profiles.sparkSession.range(_SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
+    table = F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("es", F.array()).alias("es")))), lambda s: s["es"])
+    return every.agg(table.alias("slots")).select(F.struct(languages.scalar()["lang"].alias("languages"), "slots").alias("model"))
 
-    Profiles have ``top`` rows per language, so they are broadcast.
+
+def _slot(gram: Column) -> Column:
+    return F.pmod(F.hash(gram), F.lit(_SLOTS))
+
+
+def detect_language(texts: DataFrame, profiles: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, language): the language in which the whole text's known trigrams are likeliest; ``unknown`` below 20 characters or without any.
+
+    Every row is scored by itself against the model, a constant of the plan, so
+    texts are scanned once and never shuffled.  The model is what the driver
+    fetches: at most ``top`` trigrams and one row for each language.  Of equal
+    languages the last by name is taken.  Rows may repeat.
     """
+    rows = _model(profiles)
+    model = F.from_json(F.lit(rows.select(F.to_json("model")).first()[0]), rows.schema["model"].dataType)
+    names = model["languages"]
     long = F.length(T.trim_ws(T.or_empty(F.col("text")))) >= MIN_CHARS
-    grams = _trigrams(texts.filter(long), key)
-    mine = _ranked(grams.groupBy(key, "gram").agg(F.count("*").alias("n")), key, top)
-    known = profiles.select("lang", "gram", F.col("place").alias("_place"))
-    met = mine.join(F.broadcast(known), "gram").groupBy(key, "lang").agg(F.sum(top - F.abs(F.col("place") - F.col("_place"))).alias("near"))
-    best = met.groupBy(key).agg(F.max_by("lang", F.struct("near", "lang")).alias("language"))
-    return texts.select(key).join(best, key, "left").withColumn("language", F.coalesce("language", F.lit("unknown")))
+    d = texts.select(key, F.when(long, _letters(F.col("text"))).alias("_t"))
+
+    def add(sums: Column, gram: Column) -> Column:
+        entry = F.get(F.filter(F.get(model["slots"], _slot(gram)), lambda e: e["gram"] == gram), 0)
+        return F.when(entry.isNull(), sums).otherwise(F.zip_with(sums, entry["w"], lambda a, b: a + b))
+
+    start = F.array_repeat(F.lit(0).cast("long"), F.size(names) + 1)
+    sums = F.aggregate(F.transform(_places(), _gram), start, add)
+    d = d.select(key, F.when(F.col("_t").isNotNull(), sums).alias("_s"))
+    scored = F.array_max(F.arrays_zip(F.slice("_s", 1, F.size(names)).alias("score"), names.alias("language")))
+    met = F.element_at("_s", -1) > 0
+    return d.select(key, F.coalesce(F.when(met, scored["language"]), F.lit("unknown")).alias("language"))

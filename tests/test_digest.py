@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from newsmill.operators import digest as G
 from newsmill.sources import landed as A
+from tests.test_queries import plan
 
 
 def split(spark, text, n):
@@ -68,3 +71,36 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert right / n >= 0.95
     short = spark.createDataFrame([(1, "too short"), (2, None), (3, "12345 67890 12345 67890")], "doc_id long, text string")
     assert {r.language for r in N.detect_language(short, profiles).collect()} == {"unknown"}
+    assert "Exchange" not in plan(N.detect_language(held, profiles)) and "Subquery" not in plan(N.detect_language(held, profiles))
+    # the end of a text counts as its beginning does, and rows may repeat
+    mixed = [(4, "el camino de la casa y los perros de la ciudad " * 3 + "the house and the dogs of the town with their friends " * 300)] * 2
+    assert [r.language for r in N.detect_language(spark.createDataFrame(mixed, "doc_id long, text string"), profiles).collect()] == ["en", "en"]
+    none = N.language_profiles(docs.limit(0))
+    assert {r.language for r in N.detect_language(held, none).collect()} == {"unknown"}
+
+
+def test_language_weights_equal_a_plain_count(spark):
+    import math
+
+    from newsmill.operators import language as N
+
+    texts = [(1, "xx", "aaab aab"), (2, "yy", "aaac caa"), (3, "xx", None), (4, None, "zzz")]
+    profiles = N.language_profiles(spark.createDataFrame(texts, "doc_id long, lang string, text string"))
+    grams = {"xx": Counter(), "yy": Counter()}
+    for _, lang, t in texts:
+        padded = f" {t or ''} "
+        if lang:
+            grams[lang].update(g for g in (padded[i: i + 3] for i in range(max(len(padded) - 2, 0))) if g.strip())
+    total = {k: sum(c.values()) for k, c in grams.items()}
+    assert {(r.lang, r.gram): (r.n, r.total) for r in profiles.collect()} == {(k, g): (n, total[k]) for k, c in grams.items() for g, n in c.items()}
+    asked = ["aab aab aab aab aab aab", "caa aac caa aac caa aac", "aaa aaa aaa aaa aaa aaa", "qqq www eee rrr ttt yyy"]
+    known = set().union(*grams.values())
+    weight = lambda k, g: math.floor(1000 * math.log((grams[k][g] + 0.5) / total[k]))
+
+    def brute(t):
+        padded = f" {t} "
+        met = [g for g in (padded[i: i + 3] for i in range(len(padded) - 2)) if g in known]
+        return max((sum(weight(k, g) for g in met), k) for k in grams)[1] if met else "unknown"
+
+    found = N.detect_language(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), profiles)
+    assert [r.language for r in sorted(found.collect())] == [brute(t) for t in asked]
