@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from newsmill import rules
 from newsmill.functions import classify as C, text as T
+from newsmill.operators.dedup import dedup_against_history, dedup_in_batch
 from newsmill.operators.listing import hours
 from newsmill.operators.skew import bucketed_rank
+from newsmill.session import cut_lineage
 
 
 def feed_candidates(items: DataFrame, missing_date: Column | None = None) -> DataFrame:
@@ -82,26 +85,73 @@ def insert_ignore(existing: DataFrame, new: DataFrame, key: str, order: str) ->
     return first.join(existing.select(key).distinct(), key, "left_anti").select(*new.columns)
 
 
-def collect(candidates: DataFrame, known_urls: DataFrame, now: Column, url: str = "link", order: str = "item_id") -> DataFrame:
-    """Every candidate with its ``decision``: stale, url-exists, duplicate-in-batch or inserted; inserted ones are classified."""
-    age_ok = F.col("date").isNotNull() & F.col("date").between(now - hours(rules.MAX_AGE_HOURS), now)
-    known = known_urls.select(F.col(known_urls.columns[0]).alias(url)).distinct().withColumn("_known", F.lit(True))
-    d = candidates.withColumn("_fresh", age_ok).join(known, url, "left")
-    open_ = F.col("_fresh") & F.col("_known").isNull()
-    first = d.filter(open_).groupBy(url).agg(F.min(order).alias("_first"))
-    d = d.join(first, url, "left")
-    decision = (
-        F.when(~F.col("_fresh"), "stale").when(F.col("_known"), "url-exists")
-        .when(F.col(order) != F.col("_first"), "duplicate-in-batch").otherwise("inserted")
-    )
-    d = d.withColumn("decision", decision).withColumn("_text", C.article_text(F.col("title"), F.col("description")))
-    slug = C.classify_article(F.col("_text"))["category_slug"]
-    return d.withColumn("category_slug", F.when(F.col("decision") == "inserted", slug)).drop("_fresh", "_known", "_first", "_text")
+def collect(
+    candidates: DataFrame, known_urls: DataFrame, now: Column, url: str = "link", order: str = "item_id",
+    history: DataFrame | None = None, categories: DataFrame | None = None, title_chars: int = rules.MAX_TITLE_CHARS,
+) -> DataFrame:
+    """Every candidate with its ``decision``, and the fields of the article for those that are inserted.
+
+    Decisions, in this order: ``stale`` (outside the age window or without a date),
+    ``url-exists``, ``semantic-title`` (similar to a title of ``history``, a table of
+    match_id and title; ``match_id`` and ``similarity`` name the best match),
+    ``duplicate-in-batch`` (the URL or a similar title of an earlier row that is
+    inserted) and ``inserted``.  Equal to going through the candidates in rising
+    ``order``, which must tell them apart.  Science articles get the category of
+    their text, if ``categories`` (id, slug, type) has it; titles are clipped.
+    """
+    d = candidates.withColumn("_story", T.normalize_title(F.col("title")))
+    fresh = F.coalesce(F.col("date").between(now - hours(rules.MAX_AGE_HOURS), now), F.lit(False))
+    none = {"match_id": F.lit(None).cast("long"), "similarity": F.lit(None).cast("double")}
+    stale = d.filter(~fresh).withColumns({"decision": F.lit("stale"), **none})
+    if history is None:
+        known = known_urls.select(F.col(known_urls.columns[0]).alias(url)).distinct().withColumn("_known", F.lit(True))
+        judged = d.filter(fresh).join(known, url, "left").withColumns({"reason": F.when(F.col("_known"), "url-exists").otherwise("unique"), **none}).drop("_known")
+    else:
+        judged = dedup_against_history(d.filter(fresh), history, known_urls, F.col("_story"), T.normalize_title(F.col("title")), url)
+    judged = cut_lineage(judged)
+    seen = judged.filter("reason <> 'unique'").withColumnRenamed("reason", "decision")
+    new = dedup_in_batch(judged.filter("reason = 'unique'"), order, F.col(url), F.col("_story"))
+    new = new.withColumn("decision", F.when(F.col("keep"), "inserted").otherwise("duplicate-in-batch")).drop("reason", "keep")
+    decided = reduce(DataFrame.unionByName, [stale, seen, new]).drop("_story")
+    return _article_fields(decided, categories, title_chars)
+
+
+def _article_fields(decided: DataFrame, categories: DataFrame | None, title_chars: int) -> DataFrame:
+    """Section, spheres, science field, category and clipped title of the rows to insert; null for all others."""
+    d = decided.withColumn("_text", F.when(F.col("decision") == "inserted", C.article_text(F.col("title"), F.col("description"))))
+    found = C.classify_article(F.col("_text"))
+    d = d.withColumns({"_science": found["is_science"], "science_field": found["science_field"]})
+    d = d.withColumn("_invention", F.lower(C.invention_context(F.col("title"), F.col("description"))))
+    d = d.withColumn("_counts", F.when(F.col("_science"), C.keyword_counts(F.col("_text"), rules.SCIENCE_RULES)))
+    slug = F.when(F.col("_science"), C.classify_science(F.col("_counts"), F.col("source"), F.col("science_field")))
+    inserted = F.col("decision") == "inserted"
+    d = d.withColumns({
+        "is_science": F.when(inserted, F.col("_science")), "section": F.when(inserted, C.section_of(C.is_invention(F.col("_invention")), F.col("_science"))),
+        "sphere_tags": F.when(inserted, C.sphere_tags(F.col("_invention"))),
+        "stored_title": F.when(inserted, T.clip(F.col("title"), title_chars)), "category_slug": slug,
+    })
+    if categories is not None:
+        d = route_category(d, categories.filter("type = 'science'"), "category_slug")
+        d = d.withColumn("category_slug", F.when(F.col("category_id").isNotNull(), F.col("category_slug")))
+    return d.drop("_text", "_science", "_invention", "_counts")
+
+
+def _funnel() -> dict[str, Column]:
+    n = lambda *what: F.count_if(F.col("decision").isin(*what))
+    return {
+        "raw": F.count("*"), "fresh": F.count_if(F.col("decision") != "stale"), "stale_dropped": n("stale"), "inserted": n("inserted"),
+        "duplicate_urls": n("url-exists"), "duplicate_titles": n("semantic-title"), "duplicate_in_batch": n("duplicate-in-batch"),
+    }
 
 
 def collect_funnel(decided: DataFrame) -> DataFrame:
-    n = lambda what: F.count_if(F.col("decision") == what)
-    return decided.agg(
-        F.count("*").alias("raw"), (F.count("*") - n("stale")).alias("fresh"), n("stale").alias("stale_dropped"), n("inserted").alias("inserted"),
-        n("url-exists").alias("duplicate_urls"), n("duplicate-in-batch").alias("duplicate_in_batch"),
-    )
+    return decided.agg(*[c.alias(name) for name, c in _funnel().items()])
+
+
+def observed_funnel(decided: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows and an observation that holds the funnel once they have been written, without a second pass.
+
+    Write the returned rows as they are: counts taken before a further shuffle could be taken twice.
+    """
+    counts = Observation(f"funnel-{uuid.uuid4().hex}")
+    return decided.observe(counts, *[c.alias(name) for name, c in _funnel().items()]), counts

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from newsmill import rules
 from newsmill.functions import text as T
-from newsmill.session import cut_lineage
+from newsmill.session import cut_lineage, ship_package
 
 #: Substrings are as long as the segments of the shorter keys; from this length on those have five or six characters.
 _LONG = 48
@@ -107,32 +111,72 @@ def dedup_against_history(candidates: DataFrame, history: DataFrame, known_urls:
     }).drop("_key", "_known", "_best")
 
 
-def dedup_in_batch(rows: DataFrame, order: str, url_key: Column, title_key: Column) -> DataFrame:
+def _swept(order: list, url: list, title: list, left: list, right: list) -> list:
+    """Of rows in rising order, those that stay; ``left`` and ``right`` name pairs of similar titles."""
+    near: dict = {}
+    for a, b in zip(left, right, strict=True):
+        near.setdefault(a, []).append(b)
+    urls, titles, kept = set(), set(), []
+    for n, u, t in zip(order, url, title, strict=True):
+        if (u and u in urls) or (t and (t in titles or any(x in titles for x in near.get(t, ())))):
+            continue
+        kept.append(n)
+        urls.add(u)
+        titles.add(t)
+    return kept
+
+
+def dedup_in_batch(rows: DataFrame, order: str, url_key: Column, title_key: Column, sweep_rows: int = 200_000) -> DataFrame:
     """Adds ``keep``: rows in rising ``order`` stay unless an earlier kept one has the same URL or a similar title.
 
-    Rounds go on until every row is decided.  In each, the earliest live row of
-    all it conflicts with is kept, and rows with an earlier kept conflict are
-    dropped; both come from minima per URL, per title and over similar titles,
-    so no pairs of rows are formed.
+    ``order`` must tell rows apart.  Only the earliest row of each (URL, title)
+    is looked at, as the others share all its conflicts.  In a round the rows
+    that come first among all they conflict with are kept; they and their
+    conflicts leave the state, which holds digests only.  Minima per URL, per
+    title and over similar titles find them, so no pairs of rows are formed.
+    Once at most ``sweep_rows`` undecided rows and as many pairs of similar titles
+    are left, a single task goes through them in order, so a chain of conflicts
+    ends as well; the rounds alone give the same result.
     """
-    d = rows.withColumns({"_url": url_key, "_title": title_key, "_kept": F.lit(None).cast("boolean")})
-    titles = d.select("_title")
-    pairs = similar_keys(titles, titles).filter("left_key <> right_key").select("left_key", "right_key")
-    d, pairs = cut_lineage(d), cut_lineage(pairs)
-    while d.filter("_kept is null").limit(1).count():
-        live = d.filter("_kept is null or _kept")
-
-        def earliest(key: str, live: DataFrame = live) -> DataFrame:
-            return live.filter(f"{key} is not null and {key} <> ''").groupBy(key).agg(
-                F.min(order).alias(f"_live{key}"), F.min(F.when(F.col("_kept"), F.col(order))).alias(f"_keep{key}")
-            )
-
-        by_title = earliest("_title")
-        near = pairs.join(by_title, F.col("right_key") == F.col("_title")).groupBy(F.col("left_key").alias("_title")).agg(
-            F.min("_live_title").alias("_live_near"), F.min("_keep_title").alias("_keep_near")
-        )
-        j = d.join(earliest("_url"), "_url", "left").join(by_title, "_title", "left").join(near, "_title", "left")
-        first = lambda what: F.least(*[F.coalesce(f"_{what}_{k}", order) if what == "live" else F.col(f"_{what}_{k}") for k in ("url", "title", "near")])
-        state = F.when(F.col("_kept").isNotNull(), F.col("_kept")).when(first("keep") < F.col(order), False).when(first("live") >= F.col(order), True)
-        d = cut_lineage(j.select(*rows.columns, "_url", "_title", state.alias("_kept")))
-    return d.select(*rows.columns, F.col("_kept").alias("keep"))
+    digest = lambda k: F.when(k.isNotNull() & (k != ""), F.md5(k))
+    d = cut_lineage(rows.select("*", digest(url_key).alias("_url"), title_key.alias("_key"), digest(title_key).alias("_title")))
+    titles = d.select("_key")
+    pairs = similar_keys(titles, titles).filter("left_key <> right_key").select(F.md5("left_key").alias("left"), F.md5("right_key").alias("right"))
+    free = F.col("_url").isNull() & F.col("_title").isNull()
+    live = cut_lineage(d.filter(~free).groupBy("_url", "_title").agg(F.min(order).alias("_n")))
+    pairs, kept = cut_lineage(pairs), []
+    n_pairs = pairs.count()
+    while n := live.count():
+        if max(n, n_pairs) <= sweep_rows:
+            kept.append(_sweep(live, pairs))
+            break
+        per_url = live.filter("_url is not null").groupBy("_url").agg(F.min("_n").alias("_by_url"))
+        per_title = live.filter("_title is not null").groupBy("_title").agg(F.min("_n").alias("_by_title"))
+        near = pairs.join(per_title, F.col("right") == F.col("_title")).groupBy(F.col("left").alias("_title")).agg(F.min("_by_title").alias("_by_near"))
+        j = live.join(per_url, "_url", "left").join(per_title, "_title", "left").join(near, "_title", "left")
+        least = F.least(*[F.coalesce(c, "_n") for c in ("_by_url", "_by_title", "_by_near")])
+        stay = cut_lineage(j.filter(least == F.col("_n")).select("_url", "_title", "_n"))
+        kept.append(stay.select("_n"))
+        gone_titles = stay.select("_title").unionAll(pairs.join(stay, F.col("left") == F.col("_title")).select("right")).distinct()
+        live = cut_lineage(live.join(stay.select("_url").distinct(), "_url", "left_anti").join(gone_titles, "_title", "left_anti"))
+        left = live.select(F.col("_title").alias("left")).distinct()
+        pairs = cut_lineage(pairs.join(left, "left", "left_semi").join(left.withColumnRenamed("left", "right"), "right", "left_semi").select("left", "right"))
+        n_pairs = pairs.count()
+    if not kept:
+        return d.select(*rows.columns, F.lit(True).alias("keep"))
+    stays = reduce(DataFrame.unionAll, kept).select(F.col("_n").alias(order), F.lit(True).alias("_stays"))
+    return d.join(stays, order, "left").select(*rows.columns, (free | F.col("_stays").isNotNull()).alias("keep"))
+
+
+def _sweep(live: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows that stay of a state whose size the caller has checked."""
+    kind = live.schema["_n"].dataType
+    ship_package(live.sparkSession)
+
+    def sweep(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_n")
+        cells = lambda c: [x if isinstance(x, str) else None for x in rows[c]]
+        return pd.DataFrame({"_n": _swept(rows["_n"].tolist(), cells("_url"), cells("_title"), links["left"].tolist(), links["right"].tolist())})
+
+    one = F.lit(1).alias("_one")
+    return live.groupBy(one).cogroup(pairs.groupBy(one)).applyInPandas(sweep, StructType([StructField("_n", kind)]))

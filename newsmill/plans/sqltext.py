@@ -83,6 +83,33 @@ def norm_title(expr: str) -> str:
     return f"array_to_string(list_filter({words}, lambda w: length(w) > 1 and not list_contains({stop}, w)), ' ')"
 
 
+#: DuckDB's edit distance counts bytes, so each of these letters becomes a byte that no lower-case title holds.
+_LETTERS = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя" + "ßàáâäçèéêëíñóôöùúüœ"
+_BYTES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(1, 9), *range(14, 32)]))
+
+
+def one_byte(expr: str) -> str:
+    return f"translate({expr}, {lit(_LETTERS)}, {lit(_BYTES)})"
+
+
+def similar_titles(keys: str, others: str) -> str:
+    """(l, r, d, n) of keys(k) and others(k) with an edit similarity of 0.85 or more, equal ones included"""
+    near = "abs(length(a.k) - length(b.k)) * 100 <= 15 * greatest(length(a.k), length(b.k))"
+    return (
+        f"select l, r, d, n from (select a.k as l, b.k as r, levenshtein({one_byte('a.k')}, {one_byte('b.k')}) as d, greatest(length(a.k), length(b.k)) as n "
+        f"from (select distinct k from {keys} where k <> '') a join (select distinct k from {others} where k <> '') b on {near}) p where d * 100 <= 15 * n"
+    )
+
+
+def earlier_kept(conflicts: str) -> str:
+    """n of conflicts(n, before) that stay when rows with an earlier kept one in before go, in rising n"""
+    return (
+        f"ordered as materialized (select n, before, row_number() over (order by n) as i from {conflicts}), "
+        "steps(i, kept) as (select 0::bigint, []::bigint[] union all select s.i + 1, case when list_has_any(before, kept) then kept else list_append(kept, n) end "
+        "from steps s join ordered o on o.i = s.i + 1), stay as (select unnest(arg_max(kept, i)) as n from steps)"
+    )
+
+
 def norm_url(expr: str) -> str:
     u = trim(expr)
     rx = "'(?i)^(https?)://(?:[^/?#@]*@)?([^/?#]+)([^?#]*)'"

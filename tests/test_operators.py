@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from newsmill.operators import dedup as D, evaluation as V, health as H, lifecycle as Y
+from newsmill.functions import text as T
+from newsmill.operators import collect as K, dedup as D, evaluation as V, health as H, lifecycle as Y
 from newsmill.operators.skew import bucketed_rank
 
 
@@ -45,17 +47,81 @@ def test_similar_keys_equal_all_pairs(spark):
     assert found == {(a, b) for a in keys for b in keys if similar(a, b)}
 
 
-def test_batch_dedup_is_the_greedy_choice(spark):
+def greedy(rows: list[tuple]) -> set[int]:
+    """Numbers of the (number, title, URL) that stay when they are gone through in order."""
+    kept: list[tuple] = []
+    for n, t, u in sorted(rows, key=lambda r: r[0]):
+        if all((not u or u != b) and not (t and a and similar(t, a)) for _, a, b in kept):
+            kept.append((n, t, u))
+    return {n for n, _, _ in kept}
+
+
+@pytest.mark.parametrize("sweep_rows", [0, 25, 200_000])
+def test_batch_dedup_is_the_greedy_choice(spark, sweep_rows):
     rng = random.Random(9)
     rows = [(i, t, f"u{rng.randrange(60)}") for i, t in enumerate(titles(100, 5))]
+    rows += [(100, None, None), (101, "", ""), (102, None, "u1"), (103, rows[0][1], None), (104, "", "alone"), (105, *rows[3][1:])]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "n long, title string, url string")
-    found = {r.n: r.keep for r in D.dedup_in_batch(df, "n", F.col("url"), F.col("title")).collect()}
-    kept: list[tuple] = []
-    for n, t, u in sorted(rows):
-        if all(u != b and not (t and a and similar(t, a)) for _, a, b in kept):
-            kept.append((n, t, u))
-    assert {n for n, k in found.items() if k} == {n for n, _, _ in kept}
+    found = {r.n: r.keep for r in D.dedup_in_batch(df, "n", F.col("url"), F.col("title"), sweep_rows=sweep_rows).collect()}
+    assert len(found) == len(rows)
+    assert {n for n, k in found.items() if k} == greedy(rows)
+
+
+def test_a_long_chain_of_conflicts_ends(spark):
+    """Each row shares its URL with the one before it or its title with the one after it."""
+    n = 10_000
+    df = spark.range(n).select("id", F.floor(F.col("id") / 2).alias("u"), F.substring(F.md5(F.floor((F.col("id") + 1) / 2).cast("string")), 1, 12).alias("t"))
+    found = sorted(r.id for r in D.dedup_in_batch(df, "id", F.col("u").cast("string"), F.col("t")).filter("keep").collect())
+    assert found == list(range(0, n, 2))
+
+
+def test_batch_dedup_of_nothing(spark):
+    df = spark.createDataFrame([], "n long, title string, url string, _n string, keep boolean").drop("keep")
+    out = D.dedup_in_batch(df, "n", F.col("url"), F.col("title"))
+    assert out.columns == ["n", "title", "url", "_n", "keep"] and out.count() == 0
+
+
+def test_collect_is_the_sequential_choice(spark):
+    rng = random.Random(4)
+    at = lambda k: f"2024-01-{k:02} 12:00:00"
+    pool = [(t + " story " + t[::-1]) for t in titles(60, 8)]
+    rows = [(i, "cell", rng.choice(pool), f"https://a.example/{rng.randrange(90)}", rng.choice([at(30), at(29), at(20), None]), rng.choice([None, "protein folding with deep learning", "sports report"])) for i in range(150)]
+    rows.append((150, "lancet", "AI tool: " + "x" * 600, "https://a.example/long", at(30), "machine learning for molecules and chemistry"))
+    known, past = ["https://a.example/1", "https://a.example/2"], [(k, t) for k, t in enumerate(pool[:6])]
+    schema = "item_id long, source string, title string, link string, d string, description string"
+    candidates = spark.createDataFrame(rows, schema).withColumn("date", F.col("d").cast("timestamp_ntz")).drop("d")
+    decided = K.collect(
+        candidates, spark.createDataFrame([(u,) for u in known], "link string"), F.lit(at(31)).cast("timestamp_ntz"),
+        history=spark.createDataFrame(past, "match_id long, title string"), categories=spark.createDataFrame([(7, "biology", "science"), (8, "medicine", "science")], "id long, slug string, type string"),
+    )
+    counted, funnel = K.observed_funnel(decided)
+    found = {r.item_id: r for r in counted.collect()}
+
+    keys = dict(enumerate(r.k for r in candidates.orderBy("item_id").select(T.normalize_title(F.col("title")).alias("k")).collect()))
+    old = {m: r.k for m, r in zip((m for m, _ in past), spark.createDataFrame(past, "m long, t string").orderBy("m").select(T.normalize_title(F.col("t")).alias("k")).collect(), strict=True)}
+    expected, inserted = {}, []
+    for i, _, _, link, d, _ in rows:
+        match = [(lev(keys[i], k) / max(len(k), len(keys[i])), m) for m, k in old.items() if keys[i] and k and similar(keys[i], k)]
+        if d not in (at(30), at(29)):
+            expected[i] = ("stale", None)
+        elif link in known:
+            expected[i] = ("url-exists", None)
+        elif match:
+            expected[i] = ("semantic-title", min(match)[1])
+        elif any(link == b or (keys[i] and k and similar(keys[i], k)) for k, b in inserted):
+            expected[i] = ("duplicate-in-batch", None)
+        else:
+            expected[i] = ("inserted", None)
+            inserted.append((keys[i], link))
+    assert {i: (r.decision, r.match_id) for i, r in found.items()} == expected
+    assert {w for w, _ in expected.values()} == {"stale", "url-exists", "semantic-title", "duplicate-in-batch", "inserted"}
+    long = found[150]
+    assert (len(long.stored_title), len(long.title), long.is_science, long.category_slug, long.category_id) == (500, 609, True, "medicine", 8)
+    assert all(r.section is None and r.sphere_tags is None and r.stored_title is None for r in found.values() if r.decision != "inserted")
+    counts = funnel.get
+    assert counts["raw"] == len(rows) and counts["inserted"] == len(inserted) and counts["duplicate_titles"] == sum(w == "semantic-title" for w, _ in expected.values())
+    assert counts == K.collect_funnel(decided).first().asDict()
 
 
 def test_history_is_searched_whole(spark):
