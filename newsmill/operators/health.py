@@ -68,6 +68,12 @@ def run_metrics(logs: DataFrame) -> DataFrame:
     )
 
 
+def run_messages(logs: DataFrame) -> DataFrame:
+    """(message, n, first_at, last_at): a row per error message, however many there are, where ``run_metrics`` joins them into one text."""
+    seen = [F.count("*").alias("n"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")]
+    return logs.filter("error_message is not null").groupBy(F.col("error_message").alias("message")).agg(*seen)
+
+
 def cycle_stages(reports: DataFrame) -> DataFrame:
     """State of each stage of a cycle: of every field the last value reported."""
     at = F.struct("ts", "seq")

@@ -12,6 +12,7 @@ _MODULES = [
     "digest_queries",
     "search_queries",
     "table_queries",
+    "file_queries",
 ]
 
 

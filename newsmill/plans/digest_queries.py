@@ -88,9 +88,23 @@ def pick_caption_track(spark, d):
     return A.pick_caption_track(tracks).select("video_id", "position", "lang", "ext")
 
 
-@query("decode_pages", "select page_id, html as text from pages")
+_BANNER = "<!-- Новости науки № 7 — ёлка --> "
+_BANNER_1251 = "3c212d2d20cdeee2eef1f2e820ede0f3eae820b92037209720b8ebeae0202d2d3e20"
+
+
+_WESTERN, _CYRILLIC = "".join(map(chr, range(0xC0, 0x100))), "".join(map(chr, range(0x410, 0x450)))
+_OTHER = "[^\\x00-\\x7FÀ-ÿ]"
+
+
+@query("decode_pages", f"""select page_id, {S.lit(_BANNER)} || case when page_id % 2 = 0 and not regexp_matches(html, '[^\\x00-\\x7FÀ-ÿ]') then translate(html, '{_WESTERN}', '{_CYRILLIC}') else html end as text
+from pages""")
 def decode_pages(spark, d):
-    rows = X.table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("body"), F.lit("text/html; charset=utf-8").alias("kind"))
+    """Pages of even ids land as single bytes that are windows-1251, in which their Western letters are Cyrillic ones; all others land as UTF-8."""
+    html = F.col("html")
+    legacy = (F.col("page_id") % 2 == 0) & ~html.rlike(_OTHER)
+    body = F.when(legacy, F.concat(F.unhex(F.lit(_BANNER_1251)), F.encode(F.regexp_replace(html, _OTHER, ""), "ISO-8859-1"))).otherwise(F.concat(F.encode(F.lit(_BANNER), "UTF-8"), F.encode(html, "UTF-8")))
+    kind = F.when(legacy, "text/html; charset=windows-1251").otherwise("text/html; charset=utf-8")
+    rows = X.table(spark, d, "pages").select("page_id", body.alias("body"), kind.alias("kind"))
     return rows.select("page_id", A.decoded(F.col("body"), F.col("kind")).alias("text"))
 
 

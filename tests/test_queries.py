@@ -12,7 +12,7 @@ import __spark_entry__ as entry_point
 from newsmill.plans import load
 
 OWN = dict(load().QUERIES)
-EAGER = {"collect", "collect_funnel", "dedup_in_batch", "title_similarity_join", "dedup_against_history", "fts_indexed", "fts_stemmed", "index_stems", "table_status", "table_read_marks", "table_logs_of_days"}
+EAGER = {"landed_json", "landed_json_rejects", "landed_tsv", "landed_tsv_rejects", "manifest_file", "collect", "collect_funnel", "dedup_in_batch", "title_similarity_join", "dedup_against_history", "fts_indexed", "fts_stemmed", "index_stems", "table_status", "table_read_marks", "table_logs_of_days"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -49,7 +49,7 @@ def test_model_answers_are_parsed_once(spark, sf_dir):
     assert plan(OWN["save_summary"](spark, sf_dir)).count("regexp_extract(") <= 12
 
 
-@pytest.mark.parametrize("name", ["news_page", "unread_counts", "classify_article", "collect", "collect_funnel", "seen_except", "title_similarity_join", "dedup_against_history", "dedup_in_batch", "source_health", "score_article", "manifest_summary", "llm_responses", "fts_indexed", "table_status", "table_read_marks", "table_logs_of_days"])
+@pytest.mark.parametrize("name", ["news_page", "unread_counts", "classify_article", "collect", "collect_funnel", "seen_except", "title_similarity_join", "dedup_against_history", "dedup_in_batch", "source_health", "score_article", "manifest_summary", "llm_responses", "obsolete_categories", "run_messages", "decode_pages", "landed_json", "landed_json_rejects", "landed_tsv", "landed_tsv_rejects", "manifest_file", "fts_indexed", "table_status", "table_read_marks", "table_logs_of_days"])
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
