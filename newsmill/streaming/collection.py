@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsmill import rules
 from newsmill.operators import collect as K
+from newsmill.operators.listing import hours
 from newsmill.sources.url_memory import UrlMemory
 
 
@@ -21,10 +22,12 @@ def first_per_url(guarded: DataFrame, url: str = "link") -> DataFrame:
     return guarded.dropDuplicatesWithinWatermark([url])
 
 
-def collect_stream(candidates: DataFrame, memory: str, checkpoint: str, now: Column, trigger: dict, url: str = "link", order: str = "item_id") -> StreamingQuery:
+def collect_stream(candidates: DataFrame, memory: str, checkpoint: str, now: Column, trigger: dict, url: str = "link", order: str = "item_id", title_hours: int = 2 * rules.MAX_AGE_HOURS) -> StreamingQuery:
     """Collects each micro-batch against the URL memory at ``memory`` and appends all decisions to it.
 
-    Only URLs that the memory's sketch may hold meet its rows.  A batch is committed
+    Only URLs that the memory's sketch may hold meet its rows.  Titles are compared
+    with those of the rows inserted in earlier batches whose date lies at most
+    ``title_hours`` back, so what a batch reads doesn't grow with the stream's life.  A batch is committed
     under its id, so one that runs again after a failure adds nothing and never
     meets its own rows.  ``trigger`` is what writeStream.trigger takes, such as
     {"processingTime": "5 minutes"}.
@@ -32,7 +35,12 @@ def collect_stream(candidates: DataFrame, memory: str, checkpoint: str, now: Col
 
     def one(batch: DataFrame, batch_id: int) -> None:
         seen = UrlMemory(batch.sparkSession, memory, url)
-        if not seen.holds(batch_id):
-            seen.append(batch_id, K.collect(batch, seen.known(batch.select(url)), now, url, order), F.col("decision") == "inserted")
+        if seen.holds(batch_id):
+            return
+        past = seen.rows()
+        if past is not None:
+            recent = (F.col("decision") == "inserted") & (F.col("date") >= now - hours(title_hours))
+            past = past.filter(recent).select(F.col(order).alias("match_id"), "title")
+        seen.append(batch_id, K.collect(batch, seen.known(batch.select(url)), now, url, order, history=past), F.col("decision") == "inserted")
 
     return candidates.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**trigger).start()

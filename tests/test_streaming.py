@@ -48,14 +48,23 @@ def test_states_equal_the_batch_after_a_restart(spark, sf_dir, tmp_path, table,
     assert rounded(found) == rounded(batch)
 
 
-def test_collection_inserts_each_url_once(spark, sf_dir, tmp_path):
-    K.feed_candidates(X.feed_items(spark, sf_dir), X.now()).write.parquet(str(tmp_path / "all"))
+def test_streamed_collection_is_the_sequential_choice(spark, tmp_path):
+    at = X.now() - F.make_dt_interval(hours=F.lit(5))
+    title = F.concat(F.lit("A story of the laboratory that is told by number "), F.repeat((F.col("item_id") % 11 * 37 + 100).cast("string"), 3), F.when(F.col("item_id") >= 60, "!?").otherwise("x"))
+    items = spark.range(90).select(F.col("id").alias("item_id")).select(
+        "item_id", F.lit("src").alias("source"), title.alias("title"), F.concat(F.lit("https://a.example/"), F.col("item_id") % 70).alias("link"), F.lit("text").alias("description"),
+        F.when(F.col("item_id") % 10 != 9, at).alias("date"),
+    )
+    items.write.parquet(str(tmp_path / "all"))
     rows = spark.read.parquet(str(tmp_path / "all"))
     run(C.collect_stream(streamed(spark, rows, tmp_path / "in"), str(tmp_path / "memory"), str(tmp_path / "ck"), X.now(), ONCE))
     decided = UrlMemory(spark, str(tmp_path / "memory")).rows()
-    assert decided.count() == rows.count()
-    inserted = decided.filter("decision = 'inserted'")
-    assert inserted.count() == inserted.select("link").distinct().count() == K.time_guard(rows, X.now()).select("link").distinct().count()
+    batch = K.collect(rows, spark.createDataFrame([], "link string"), X.now())
+    inserted = lambda d: {r.item_id for r in d.filter("decision = 'inserted'").collect()}
+    assert decided.count() == 90
+    assert inserted(decided) == inserted(batch) and len(inserted(batch)) == 11
+    # rows of later files meet the titles of earlier ones
+    assert decided.filter("decision = 'semantic-title' and match_id < 30 and item_id >= 60").count() > 0
 
 
 def test_guard_and_first_per_url(spark, sf_dir, tmp_path):
