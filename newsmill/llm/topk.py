@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsmill.llm.common import ship, stored, table
 
@@ -43,6 +43,10 @@ def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return v.select("vec_id", F.transform("x", lambda e: F.floor(e * scale).cast("long")).alias("v"))
 
 
+def _squares(vector: str) -> Column:
+    return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+
+
 def _packed(v: DataFrame, key: list, rows: int) -> DataFrame:
     """Tiles of about ``rows`` vectors that agree on ``key``: (key, tile, ids, vs)."""
     sizes = v.groupBy(*key).agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
@@ -125,15 +129,17 @@ def top_products(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, scale
     Queries are the rows whose id is divisible by ``every``; candidates are all
     rows of another id and as many components.  Fewer than k candidates give
     fewer rows, none give none.  Rows without a whole finite vector take no
-    part.  Repeated rows count each; a repeated query is answered once.  Other
+    part.  Repeated rows count each; a repeated query is answered once, by
+    the vector of fewest components and, of those, of the smallest numbers.  Other
     columns are not read.
     """
     ship(vectors.sparkSession)
     v = stored(whole_vectors(vectors, scale).withColumn("dim", F.size("v")), "vectors")
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    squares = _squares("v")
     bucket = F.when(squares > 0, F.floor(F.log2(squares) / 2 * STEPS)).otherwise(-1).cast("int")
     tiles = stored(_packed(v.withColumn("bucket", bucket), ["dim", "bucket"], TILE_ROWS), "vector-tiles")
-    blocks = _packed(v.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), ["dim"], BLOCK_ROWS)
+    asking = v.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("s")).select("vec_id", "s.*")
+    blocks = _packed(asking, ["dim"], BLOCK_ROWS)
     blocks = stored(blocks.select("dim", F.col("tile").alias("block"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")), "query-blocks")
 
     no_bounds = F.transform("q_ids", lambda _: F.lit(_NO_BOUND).cast("long"))
@@ -144,12 +150,17 @@ def top_products(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, scale
     seen = first.mapInArrow(_best(k), out).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
     bound = stored(seen.select("query_id", F.coalesce(F.get("scores", F.lit(k - 1)), F.lit(_NO_BOUND)).alias("bound")), "bounds")
 
-    one = blocks.select("dim", "block", F.posexplode("q_ids").alias("at", "query_id")).join(bound, "query_id", "left")
-    one = one.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(_NO_BOUND)).alias("b")))).alias("s"))
-    bounded = blocks.join(one, ["dim", "block"]).select("dim", "q_ids", "q_vs", F.col("s.b").alias("bounds"))
-    # each block of the stated queries meets each tile once: blocks go to the tiles' places
-    places = tiles.select("dim", "bucket", "tile")
-    asked = bounded.join(places, "dim")
+    one = blocks.select("dim", "block", F.posexplode(F.arrays_zip("q_ids", "q_vs")).alias("at", "q"))
+    one = one.select("dim", "block", "at", F.col("q.q_ids").alias("query_id"), F.sqrt(_squares("q.q_vs")).alias("length")).join(bound, "query_id", "left")
+    # a tile whose longest vector is shorter than what a query needs can't hold one of its best
+    need = F.when((F.col("bound") > 0) & (F.col("length") > 0), F.col("bound") / F.col("length")).otherwise(0.0)
+    one = one.groupBy("dim", "block").agg(
+        F.sort_array(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(_NO_BOUND)).alias("b")))).alias("s"), F.min(need).alias("need")
+    )
+    bounded = blocks.join(one, ["dim", "block"]).select("dim", "q_ids", "q_vs", F.col("s.b").alias("bounds"), "need")
+    # each block of the stated queries meets at most once each tile that may hold a vector for it: blocks go to the tiles' places
+    places = tiles.select("dim", "bucket", "tile", (F.pow(F.lit(2.0), (F.col("bucket") + 1) / STEPS) * (1 + 1e-6)).alias("longest"))
+    asked = bounded.join(places, "dim").filter("longest >= need").drop("longest", "need")
     pairs = asked.join(tiles, ["dim", "bucket", "tile"]).select("q_ids", "q_vs", "bounds", "ids", "vs")
     found = _ranked(pairs.mapInArrow(_best(k), out), k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -528,6 +528,11 @@ def test_top_products_equal_brute_force(spark):
     assert topk.top_products(df.limit(0)).count() == 0
 
 
+def test_a_repeated_query_takes_its_smallest_vector(spark):
+    df = spark.createDataFrame([(0, [3.0, 4.0]), (0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 5.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    same(topk.top_products(df).collect(), [(0, 1, 1, 15 * 1024**2), (0, 2, 2, 1024**2)])
+
+
 def test_pruning_loses_nothing():
     rng = np.random.default_rng(1)
     c = np.floor(rng.normal(size=(400, 6)) * 1024).astype(np.int64)
