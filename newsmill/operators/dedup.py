@@ -2,86 +2,100 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from newsmill import rules
-from newsmill.functions import text as T
+from newsmill.operators import similar as S
 from newsmill.session import cut_lineage, ship_package
 
-#: Substrings are as long as the segments of the shorter keys; from this length on those have five or six characters.
-_LONG = 48
-
-
-def _segments(keys: DataFrame, percent: int) -> DataFrame:
-    """(hash, at, k, n): each key cut into one segment more than the edits to its longest partner, so one of them is left whole."""
-    n = F.col("n")
-    count = F.floor(n * (100 - percent) / percent).cast("int") + 1  # the longer key may have length / 0.85
-    cut = lambda i: F.floor(n * i / count).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(cut(i).alias("at"), F.xxhash64(F.slice("chars", cut(i) + 1, cut(i + 1) - cut(i))).alias("hash")))
-    return keys.select("k", "n", F.explode(pieces).alias("s")).select("s.hash", "s.at", "k", "n")
-
-
-def _substrings(keys: DataFrame, percent: int) -> DataFrame:
-    """(hash, at, k, n): every substring that could be a segment of a shorter key."""
-    sizes = F.when(F.col("n") >= _LONG, F.array(F.lit(5), F.lit(6))).otherwise(F.array(*map(F.lit, (3, 4, 5, 6))))
-    d = keys.select("k", "n", "chars", F.explode(sizes).alias("size")).filter("size <= n")
-    pieces = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("chars", i + 1, F.col("size"))).alias("hash")))
-    return d.select("k", "n", F.explode(pieces).alias("s")).select("s.hash", "s.at", "k", "n")
-
-
-def _steps(n: Column, percent: int) -> Column:
-    """Keys of similar length are on the same step of a scale or on neighbouring ones."""
-    return F.floor(F.log(n) / -F.log(F.lit(percent / 100))).cast("int")
-
-
-def _candidates(short: DataFrame, long: DataFrame, percent: int, strict: bool) -> DataFrame:
-    """(ks, kl): pairs that share a segment of the shorter key at places which that many edits can bring together.
-
-    The join is by segment and length step; lengths and places are checked at once.
-    """
-    s = _segments(short, percent).select("hash", F.col("at").alias("at_s"), F.col("k").alias("ks"), F.col("n").alias("ns"), _steps(F.col("n"), percent).alias("step"))
-    step = _steps(F.col("n"), percent)
-    t = _substrings(long, percent).select("hash", F.col("at").alias("at_l"), F.col("k").alias("kl"), F.col("n").alias("nl"), F.explode(F.array(step, step - 1)).alias("step"))
-    budget, longer = T.edit_budget(F.col("nl"), percent), F.col("nl") - F.col("ns")
-    shift = F.col("at_l") - F.col("at_s")
-    fits = (longer >= (1 if strict else 0)) & (longer <= budget) & (2 * shift <= budget + longer) & (-2 * shift <= budget - longer) & (F.col("ks") != F.col("kl"))
-    return s.join(t, ["hash", "step"]).filter(fits).select("ks", "kl").distinct()
+#: A tile holds keys of at least and at most so many letters, each key counting ``_KEY_COST`` besides; tables between are cut into ``_TILES``.
+_TILE_LETTERS, _TILES, _KEY_COST = (1 << 16, 1 << 24), 32, 200
+
+
+def _tiling(lengths: list[tuple[int, int]], percent: int, two_sides: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Of rising (length, number of keys): (length, first tile, tiles), a crowded length having several; and (pair, tile, tile) to be compared."""
+    cost = lambda n, keys: keys * (n + _KEY_COST)
+    size = min(max(sum(cost(*x) for x in lengths) // _TILES, _TILE_LETTERS[0]), _TILE_LETTERS[1])
+    places, bounds, room = [], [], 0
+    for n, keys in lengths:
+        parts = -(-cost(n, keys) // size)
+        if parts > 1 or not bounds or cost(n, keys) > room:
+            places.append((n, len(bounds), parts))
+            bounds += [[n, n] for _ in range(parts)]
+            room = 0 if parts > 1 else size - cost(n, keys)
+        else:
+            places.append((n, len(bounds) - 1, 1))
+            bounds[-1][1] = n
+            room -= cost(n, keys)
+    pairs = []
+    for i, (_, longest) in enumerate(bounds):
+        for j in range(i, len(bounds)):
+            if bounds[j][0] - longest > S.budget(bounds[j][0], percent):
+                break
+            pairs += [(i, j)] if i == j or not two_sides else [(i, j), (j, i)]
+    return places, [(k, i, j) for k, (i, j) in enumerate(pairs)]
+
+
+def _near_keys(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """(left_key, right_key, distance) of the different keys (n, key) within the budget; of one table's pairs each once."""
+    spark, one = left.sparkSession, left is right
+    lengths = (left if one else left.unionAll(right)).groupBy("n").count().orderBy("n").collect()  # a row for each length that occurs
+    places, pairs = _tiling([tuple(r) for r in lengths], percent, not one)
+    place = F.broadcast(spark.createDataFrame(places, "n int, first int, parts int"))
+    pair = spark.createDataFrame(pairs, "pair int, a int, b int")
+    ship_package(spark)
+
+    def dealt(keys: DataFrame, side: str) -> DataFrame:
+        tiled = keys.join(place, "n").select((F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int").alias(side), "key")
+        return tiled.join(F.broadcast(pair), side).select("pair", F.lit(side).alias("side"), (F.lit(one) & (F.col("a") == F.col("b"))).alias("own"), "key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides, own = {"a": [], "b": []}, False
+        for batch in batches:
+            own = own or batch.column("own")[0].as_py()
+            for side, key in zip(batch.column("side").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                sides[side].append(key)
+        if sides["a"] and (own or sides["b"]):
+            x = S.Tile(sides["a"])
+            for left, right, distance in S.near_pairs(x, x if own else S.Tile(sides["b"]), percent):
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(distance, pa.int32())], ["left_key", "right_key", "distance"])
+
+    # little data and much work: as many partitions as pairs of tiles, not as the bytes ask for
+    rows = dealt(left, "a").unionAll(dealt(right, "b").filter("not own")).repartition(max(1, len(pairs)), "pair")
+    return rows.groupBy("pair").applyInArrow(compare, "left_key string, right_key string, distance int")
 
 
 def similar_keys(left: DataFrame, right: DataFrame, percent: int = rules.SIMILARITY_PERCENT) -> DataFrame:
     """(left_key, right_key, similarity) of the distinct keys whose edit similarity is at least ``percent``.
 
-    Exact, without comparing all pairs.  Titles are collapsed to distinct keys.  The
-    shorter key of a pair is cut into one segment more than the edits allowed, so at
-    least one is found unchanged in the longer, shifted by no more than the edits;
-    candidates are verified by an edit distance that stops beyond the budget.  Keys
-    shorter than six characters only match themselves.  Equal keys match by a join of their own.
+    Exact.  Titles are collapsed to distinct keys, laid into tiles by length; tiles
+    whose lengths allow it are compared, each pair of them in one task of bounded
+    size.  Signatures drop nearly all pairs of keys, an edit distance that stops at
+    the budget decides the others.  Keys shorter than six characters only match
+    themselves.  Equal keys match by a join of their own.
     """
 
     def keyed(d: DataFrame) -> DataFrame:
         d = d.select(F.col(d.columns[0]).alias("key")).filter("key <> ''").distinct()
-        return d.select(F.md5("key").alias("k"), F.length("key").alias("n"), "key")
+        return d.select(F.length("key").alias("n"), "key")
 
     same_side = left is right
     a = cut_lineage(keyed(left))
     b = a if same_side else cut_lineage(keyed(right))
-    chars = lambda d: d.filter("n >= 6").select("k", "n", F.split("key", "").alias("chars"))
-    ca, cb = chars(a), chars(b)
-    pairs = _candidates(ca, cb, percent, strict=False).select(F.col("ks").alias("ka"), F.col("kl").alias("kb"))
+    long = a.filter("n >= 6")
+    near = _near_keys(long, long if same_side else b.filter("n >= 6"), percent)
     if same_side:
-        pairs = pairs.unionAll(pairs.select(F.col("kb"), F.col("ka"))).distinct()
-    else:
-        pairs = pairs.unionAll(_candidates(cb, ca, percent, strict=True).select(F.col("kl").alias("ka"), F.col("ks").alias("kb")))
-    pairs = pairs.join(a.select(F.col("k").alias("ka"), F.col("key").alias("left_key")), "ka").join(b.select(F.col("k").alias("kb"), F.col("key").alias("right_key")), "kb")
-    longest = F.greatest(F.length("left_key"), F.length("right_key"))
-    distance = F.call_function("levenshtein", F.col("left_key"), F.col("right_key"), T.edit_budget(longest, percent).cast("int"))
-    near = pairs.withColumn("distance", distance).filter("distance >= 0").select("left_key", "right_key", (1 - F.col("distance") / longest).alias("similarity"))
+        near = near.select("distance", F.explode(F.array(F.struct("left_key", "right_key"), F.struct(F.col("right_key").alias("left_key"), F.col("left_key").alias("right_key")))).alias("p"))
+        near = near.select("p.*", "distance")
+    near = near.select("left_key", "right_key", (1 - F.col("distance") / F.greatest(F.length("left_key"), F.length("right_key"))).alias("similarity"))
     near = near.filter(F.col("similarity") * 100 >= percent)
-    same = a.join(b.select("k"), "k").select(F.col("key").alias("left_key"), F.col("key").alias("right_key"), F.lit(1.0).alias("similarity"))
+    same = a.join(b.select("key"), "key").select(F.col("key").alias("left_key"), F.col("key").alias("right_key"), F.lit(1.0).alias("similarity"))
     return near.unionAll(same)
 
 
