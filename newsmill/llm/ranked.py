@@ -32,6 +32,8 @@ BLOCK_TERMS = 1 << 14
 _CELLS = 1 << 20
 #: Characters of a text that are split into terms at a time.
 _CHUNK_CHARS = 1 << 22
+#: Documents whose rows of the index are handed over together, and terms whose hashes a task remembers.
+_HANDED, _KNOWN = 512, 100_000
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _GAP = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -70,13 +72,13 @@ def sketch_index(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        for batch in batches:
+        for batch in (b.slice(at, _HANDED) for b in batches for at in range(0, b.num_rows, _HANDED)):
             ids, sizes, terms, tfs, sketches = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
                 counts = term_counts(text.as_py())
                 if not counts:
                     continue
-                if len(known) > 500_000:
+                if len(known) > _KNOWN:
                     known.clear()
                 names = np.fromiter((known.get(t) or known.setdefault(t, term_hash(t)) for t in counts), np.int64, len(counts))
                 times = np.fromiter(counts.values(), np.int64, len(counts))
