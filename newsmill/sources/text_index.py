@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsmill import rules
@@ -23,6 +25,8 @@ from newsmill.session import ship_package
 from newsmill.sources.commits import publish, records
 
 BLOCK_BITS = 16
+#: Words whose stems a task remembers.
+_KNOWN = 200_000
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -38,7 +42,7 @@ def unstemmed(word: str) -> str:
 class TextIndex:
     """An index of (id, text) rows under ``folder``; one driver at a time appends.
 
-    ``stemmer`` takes each distinct word of a block; search words pass it too.  ``n_buckets`` and the stemmer hold for the folder's whole life.
+    ``stemmer`` takes each distinct word of a batch of rows; search words pass it too.  ``n_buckets`` and the stemmer hold for the folder's whole life.
     Null and empty texts have no words and are never found.  An id that comes
     again, in one batch or a later one: rows of one batch count together, those
     of the latest batch replace earlier ones.
@@ -54,17 +58,36 @@ class TextIndex:
     def _bucket(self, word: Column) -> Column:
         return F.pmod(F.xxhash64(word), F.lit(self.n_buckets).cast("long")).cast("int")
 
-    def _stem(self, word: Column) -> Column:
-        if self.stemmer is unstemmed:
-            return word
+    def _lists(self, rows: DataFrame) -> DataFrame:
+        """(stem, block, places): of rows (block, place, words) the posting lists of each batch, so a word is stemmed and shuffled once a batch."""
         ship_package(self.spark)
         stemmer = self.stemmer
 
-        @F.pandas_udf("string")
-        def stems(words: pd.Series) -> pd.Series:
-            return words.map({w: stemmer(w) for w in words.unique()})
-
-        return stems(word)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, str] = {}
+            for batch in batches:
+                words = batch.column("words")
+                met = words.flatten().dictionary_encode()
+                if len(known) > _KNOWN:
+                    known.clear()
+                stems = [known.get(w) or known.setdefault(w, stemmer(w)) for w in met.dictionary.to_pylist()]
+                names = {w: k for k, w in enumerate(dict.fromkeys(stems))}
+                stem_of = np.array([names[w] for w in stems], dtype=np.int64)[met.indices.to_numpy()]
+                row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+                block, place = batch.column("block").to_numpy()[row], batch.column("place").to_numpy()[row]
+                order = np.lexsort((place, block, stem_of))
+                stem_of, block, place = stem_of[order], block[order], place[order]
+                new = np.ones(len(order), dtype=bool)  # stems of one text are often those of several words
+                new[1:] = (stem_of[1:] != stem_of[:-1]) | (block[1:] != block[:-1])
+                fresh = new.copy()
+                fresh[1:] |= place[1:] != place[:-1]
+                stem_of, block, place, first = stem_of[fresh], block[fresh], place[fresh], np.flatnonzero(new[fresh])
+                ends = np.append(first, len(place)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(names), pa.string()).take(pa.array(stem_of[first])), pa.array(block[first]), pa.ListArray.from_arrays(pa.array(ends), pa.array(place))], ["stem", "block", "places"]
+                )
+
+        return rows.mapInArrow(run, "stem string, block long, places array<int>")
 
     def append(self, batch_id: int, rows: DataFrame, key: str = "id", text: str = "text") -> bool:
         """Index the rows under their batch's id; False if that batch is there already."""
@@ -73,9 +96,7 @@ class TextIndex:
         folder = f"{self.folder}/batch-{uuid.uuid4().hex}"
         ids = rows.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id is not null")
         block, place = F.shiftright("id", BLOCK_BITS), F.col("id").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
-        met = ids.select(F.explode(words_of(F.col("text"))).alias("word"), block.alias("block"), place.alias("place"))
-        # a word is stemmed once a block, not once a document
-        lists = met.groupBy("word", "block").agg(F.collect_set("place").alias("places")).withColumn("stem", self._stem(F.col("word")))
+        lists = self._lists(ids.select(block.alias("block"), place.alias("place"), words_of(F.col("text")).alias("words")))
         posts = lists.groupBy("stem", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
         posts = posts.select(self._bucket(F.col("stem")).alias("bucket"), "stem", "block", F.size("places").alias("n"), "places")
         # by ranges, so that a common stem's blocks spread over tasks and a task writes few buckets
