@@ -176,3 +176,14 @@ def score_articles(df, now: Column):
             "section": F.when(F.col("invention"), F.lit("invention-tools")).otherwise(F.col("section")),
         }
     ).drop("invention_text", "evidence", "evidence_lower")
+
+
+def criteria_counts(scored):
+    """(criterion, n): how many articles satisfy each criterion that any satisfies.
+
+    An inner explode makes Spark look for empty breakdowns below the projections,
+    where the whole evidence text is built and lower-cased anew for each term that
+    is looked for.  The outer one doesn't; its rows of empty breakdowns are left out.
+    """
+    criteria = scored.select(F.explode_outer("breakdown").alias("_b")).select(F.col("_b.criterion").alias("criterion"))
+    return criteria.filter(F.col("criterion").isNotNull()).groupBy("criterion").agg(F.count("*").alias("n"))

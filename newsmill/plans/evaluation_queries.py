@@ -91,7 +91,7 @@ def score_article(spark, d):
 
 @query("score_sum", f"with {_SCORE}, c as (select id, unnest(string_split(criteria, ',')) as criterion from scored) select criterion, count(*) as n from c where criterion <> '' group by criterion")
 def score_sum(spark, d):
-    return scored(spark, d).select(F.explode("breakdown").alias("b")).groupBy(F.col("b.criterion").alias("criterion")).agg(F.count("*").alias("n"))
+    return Z.criteria_counts(scored(spark, d))
 
 
 @query("eval_top5", f"with {_SCORE} select id, score from scored order by score desc, id desc limit 5")

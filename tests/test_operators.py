@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsmill.functions import text as T
+from newsmill.functions import score as Z, text as T
 from newsmill.operators import collect as K, dedup as D, evaluation as V, health as H, lifecycle as Y
 from newsmill.operators.skew import bucketed_rank
+from newsmill.plans import evaluation_queries as EV
 
 
 def lev(a: str, b: str) -> int:
@@ -196,3 +198,36 @@ def test_whole_titles_are_compared(spark, sf_dir):
         a, b = ((t or "").strip(blank).lower() for t in titles_[i])
         longest = max(len(a), len(b))
         assert abs(similarity - (1.0 if longest == 0 else 1 - lev(a, b) / longest)) < 1e-5, (a, b)
+
+
+def test_criteria_counts_build_each_evidence_text_once(spark):
+    article = {"section": "ai-news", "source": "src0", "is_science": False, "original_url": "https://e.com/1", "page_text": None, "links": [], "repo_found": False, "sphere_tags": []}
+    rows = [
+        {"title": "GPT", "trending_rank": 5, "page_text": "an AI agent with RAG over MCP"}, {"title": "GPT", "trending_rank": 5, "page_text": "an AI agent with RAG over MCP"},
+        {"title": "Football", "trending_rank": 20, "license": "MIT", "stars": 20000}, {"title": "Football", "trending_rank": 60}, {"title": None, "section": None},
+        {"title": "A protein", "source": "nature", "section": "science", "is_science": True, "altmetric": 70},
+    ]
+    types = "title string, section string, source string, is_science boolean, original_url string, page_text string, links array<string>, repo string, repo_found boolean, stars int, license string, " \
+        "repo_created_at timestamp_ntz, repo_description string, repo_topics array<string>, trending_rank int, hn_points int, altmetric int, sphere_tags array<string>"
+    names = [t.split()[0] for t in types.split(", ")]
+    df = spark.createDataFrame([tuple((article | r).get(n) for n in names) for r in rows], types)
+    scored = Z.score_articles(df, F.lit("2024-01-31").cast("timestamp_ntz"))
+    counts = Z.criteria_counts(scored)
+    expected = Counter(b.criterion for r in scored.select("breakdown").collect() for b in r.breakdown)
+    assert expected["github-trending-top10"] == expected["tech-trend-bonus"] == 2 and expected["tier1-source"] == expected["invention-reroute"] == expected["open-license"] == 1
+    assert sorted(map(tuple, counts.collect())) == sorted(expected.items())
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 2  # the evidence and the invention text
+
+
+def test_score_sum_looks_for_terms_in_texts_built_before(spark, tmp_path):
+    tables = {
+        "documents": ([(i, f"Title {i}\nabout an agent", "en", "src0") for i in range(10)], "doc_id long, text string, lang string, source string"),
+        "pages": ([(i, f"https://e.com/{i}", "<article>an agent</article>") for i in range(5)], "page_id long, url string, html string"),
+        "events": ([(1, None, 1, "click", 9.0)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"),
+        "embeddings": ([(1,)], "vec_id long"), "part": ([(1, "a part", "T", 50)], "p_partkey long, p_name string, p_type string, p_size int"),
+    }
+    for name, (rows, types) in tables.items():
+        spark.createDataFrame(rows, types).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = EV.score_sum(spark, str(tmp_path))
+    assert dict(map(tuple, found.collect()))["tier1-source"] == 3  # items 1, 5 and 9
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("page_text") < 30
