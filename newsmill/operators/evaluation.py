@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsmill import rules
 from newsmill.functions import text as T, urls as U
-from newsmill.operators.skew import bucketed_rank
+from newsmill.operators.skew import bucketed_rank, left_join_known
 
 
 def page_signals(pages: DataFrame) -> DataFrame:
@@ -24,14 +24,17 @@ def with_signals(articles: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def enrich_signals(articles: DataFrame, hits: DataFrame, doi_scores: DataFrame, repos: DataFrame) -> DataFrame:
-    """Adds hn_points, altmetric and the repository's figures to articles (original_url, title, hn_points, links, dois, repo).
+    """Adds hn_points, altmetric and the repository's figures to articles (id, original_url, title, hn_points, links, dois, repo).
 
     Hits are reduced to one row per URL and per title before they are joined.
     Points collected before are never replaced; hits by title count where
-    those by URL give nothing.
+    those by URL give nothing.  Most articles have no DOI and no repository, so
+    rows without a key are spread in each join.
     """
-    points = lambda key: hits.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_{key}")).agg(F.max("points").alias(f"_{key}_points"))
-    d = articles.join(points("url"), F.col("original_url") == F.col("_url"), "left").join(points("title"), F.col("title") == F.col("_title"), "left")
+    points = lambda key, name: hits.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(name)).agg(F.max("points").alias(f"_{key}_points"))
+    by = ["id", "original_url", "title"]
+    d = left_join_known(articles, points("url", "original_url"), "original_url", by)
+    d = left_join_known(d, points("title", "title"), "title", by)
     found = F.coalesce(F.nullif("_url_points", F.lit(0)), "_title_points", "_url_points")
     doi = F.coalesce(U.extract_doi(F.col("original_url")), F.get("dois", F.lit(0)))
     d = d.withColumns({"hn_points": F.coalesce("hn_points", found), "_doi": F.lower(doi), "repo": F.coalesce(U.github_repo(F.col("original_url")), "repo")})
@@ -40,8 +43,8 @@ def enrich_signals(articles: DataFrame, hits: DataFrame, doi_scores: DataFrame,
         F.col("full_name").alias("repo"), F.lit(True).alias("repo_found"), "stars", "license", F.col("created_at").alias("repo_created_at"),
         F.col("description").alias("repo_description"), F.col("topics").alias("repo_topics"),
     )
-    d = d.join(scores, "_doi", "left").join(known, "repo", "left")
-    return d.withColumn("repo_found", F.coalesce("repo_found", F.lit(False))).drop("_url", "_title", "_url_points", "_title_points", "_doi")
+    d = left_join_known(left_join_known(d, scores, "_doi", by), known, "repo", by)
+    return d.withColumn("repo_found", F.coalesce("repo_found", F.lit(False))).drop("_url_points", "_title_points", "_doi")
 
 
 def gate_and_cap(scored: DataFrame, approved_today: Column, cap: int = 0, gate: int = rules.SCORE_GATE) -> DataFrame:

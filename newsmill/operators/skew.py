@@ -1,9 +1,22 @@
-"""Ordered look-backs that stay balanced when one key is very frequent."""
+"""Ordered look-backs and joins that stay balanced when one key, or none, is very frequent."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+
+def left_join_known(df: DataFrame, other: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Left join on ``key`` that doesn't send all rows of ``df`` without one to one task.
+
+    These rows meet nothing; they are dealt by the hash of their columns ``by``, the
+    others by that of the key.  (With a constant in its place Spark leaves the second
+    column out of the join's keys.)
+    """
+    spread = F.when(F.col(key).isNull(), F.xxhash64(*by)).otherwise(F.xxhash64(key))
+    known = other.withColumn("_spread", F.xxhash64(key))
+    return df.withColumn("_spread", spread).join(known, [key, "_spread"], "left").drop("_spread")
+
+
 def bucketed_previous(df: DataFrame, key: str, order: list[str], bucket: Column, value: str, name: str) -> DataFrame:
     """``lag(value)`` per key without sending a whole key to one task.
 

@@ -231,3 +231,30 @@ def test_score_sum_looks_for_terms_in_texts_built_before(spark, tmp_path):
     found = EV.score_sum(spark, str(tmp_path))
     assert dict(map(tuple, found.collect()))["tier1-source"] == 3  # items 1, 5 and 9
     assert found._jdf.queryExecution().optimizedPlan().toString().count("page_text") < 30
+
+
+def test_articles_without_doi_and_repository_are_spread(spark):
+    none = "cast(array() as array<string>)"
+    keyed = "id % 8 = 0 and id < 400"
+    articles = spark.range(800).selectExpr(
+        "id", "if(id % 3 = 0, null, 'https://e.com/' || id) as original_url", "if(id % 3 = 1, null, 'Title ' || id) as title", "cast(null as int) as hn_points",
+        f"{none} as links", f"if({keyed}, array('10.1234/A.' || id % 16), {none}) as dois", f"if({keyed}, 'o/r' || id % 16, null) as repo",
+    ).unionAll(spark.sql(f"select cast(null as bigint), cast(null as string), cast(null as string), cast(null as int), {none}, {none}, cast(null as string)"))
+    hits = spark.createDataFrame([("https://e.com/1", None, 7), ("https://e.com/1", None, 9), (None, "Title 3", 5), (None, None, 99)], "url string, title string, points int")
+    scores = spark.createDataFrame([("10.1234/a.8", 60.5), ("10.1234/A.8", 70.5), (None, 90.5)], "doi string, score double")
+    repos = spark.createDataFrame([("o/r8", 600, "MIT", None, "a repo", ["llm"]), (None, 5, None, None, None, None)], "full_name string, stars int, license string, created_at timestamp_ntz, description string, topics array<string>")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = V.enrich_signals(articles, hits, scores, repos).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 801
+    assert {r.id: r.hn_points for r in rows if r.hn_points is not None} == {1: 9, 3: 5}
+    eights = set(range(8, 400, 16))
+    assert {r.id for r in rows if r.altmetric is not None} == {r.id for r in rows if r.repo_found} == {r.id for r in rows if r.stars == 600} == eights
+    assert {r.altmetric for r in rows} == {None, 71}
+    assert max(Counter(r.task for r in rows).values()) < 200  # one task had all 751 without a repository
