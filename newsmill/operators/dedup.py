@@ -82,12 +82,12 @@ def similar_keys(left: DataFrame, right: DataFrame, percent: int = rules.SIMILAR
     """
 
     def keyed(d: DataFrame) -> DataFrame:
-        d = d.select(F.col(d.columns[0]).alias("key")).filter("key <> ''").distinct()
-        return d.select(F.length("key").alias("n"), "key")
+        d = cut_lineage(d.select(F.col(d.columns[0]).alias("key")).distinct())  # a filter below would make each key twice
+        return d.filter("key <> ''").select(F.length("key").alias("n"), "key")
 
     same_side = left is right
-    a = cut_lineage(keyed(left))
-    b = a if same_side else cut_lineage(keyed(right))
+    a = keyed(left)
+    b = a if same_side else keyed(right)
     long = a.filter("n >= 6")
     near = _near_keys(long, long if same_side else b.filter("n >= 6"), percent)
     if same_side:
