@@ -19,7 +19,7 @@ _TILE_LETTERS, _TILES, _KEY_COST = (1 << 16, 1 << 24), 32, 200
 
 
 def _tiling(lengths: list[tuple[int, int]], percent: int, two_sides: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Of rising (length, number of keys): (length, first tile, tiles), a crowded length having several; and (pair, tile, tile) to be compared."""
+    """Of rising (length, number of keys): (length, first tile, tiles), a crowded length having several; and (pair, tile, tile) to be compared, those of most work first."""
     cost = lambda n, keys: keys * (n + _KEY_COST)
     size = min(max(sum(cost(*x) for x in lengths) // _TILES, _TILE_LETTERS[0]), _TILE_LETTERS[1])
     places, bounds, room = [], [], 0
@@ -27,18 +27,21 @@ def _tiling(lengths: list[tuple[int, int]], percent: int, two_sides: bool) -> tu
         parts = -(-cost(n, keys) // size)
         if parts > 1 or not bounds or cost(n, keys) > room:
             places.append((n, len(bounds), parts))
-            bounds += [[n, n] for _ in range(parts)]
+            bounds += [[n, n, keys / parts] for _ in range(parts)]
             room = 0 if parts > 1 else size - cost(n, keys)
         else:
             places.append((n, len(bounds) - 1, 1))
             bounds[-1][1] = n
+            bounds[-1][2] += keys
             room -= cost(n, keys)
     pairs = []
-    for i, (_, longest) in enumerate(bounds):
+    for i, (_, longest, _) in enumerate(bounds):
         for j in range(i, len(bounds)):
             if bounds[j][0] - longest > S.budget(bounds[j][0], percent):
                 break
             pairs += [(i, j)] if i == j or not two_sides else [(i, j), (j, i)]
+    work = lambda i, j: bounds[i][2] * bounds[j][2] * bounds[j][1] / (2 if i == j and not two_sides else 1)
+    pairs.sort(key=lambda p: -work(*p))
     return places, [(k, i, j) for k, (i, j) in enumerate(pairs)]
 
 
@@ -66,8 +69,8 @@ def _near_keys(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
             for left, right, distance in S.near_pairs(x, x if own else S.Tile(sides["b"]), percent):
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(distance, pa.int32())], ["left_key", "right_key", "distance"])
 
-    # little data and much work: as many partitions as pairs of tiles, not as the bytes ask for
-    rows = dealt(left, "a").unionAll(dealt(right, "b").filter("not own")).repartition(max(1, len(pairs)), "pair")
+    # little data and much work: a partition for each pair of tiles, not as the bytes ask for, and the longest tasks first
+    rows = dealt(left, "a").unionAll(dealt(right, "b").filter("not own")).repartitionById(max(1, len(pairs)), "pair")
     return rows.groupBy("pair").applyInArrow(compare, "left_key string, right_key string, distance int")
 
 

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import lev, similar, titles
 
 from newsmill.operators import dedup as D, similar as S
@@ -130,3 +131,22 @@ def test_few_pairs_are_measured_one_by_one(monkeypatch):
     tile = S.Tile(sorted(keys))
     found = sum(len(x) for x, _, _ in S.near_pairs(tile, tile, 85))
     assert found == 120 * 119 // 2 and len(calls) < found / 10
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_each_pair_of_tiles_is_a_task_of_its_own_and_the_longest_come_first(spark, monkeypatch, sides):
+    monkeypatch.setattr(D, "_TILE_LETTERS", (1000, 1000))
+    rng = random.Random(12)
+    keys = {"".join(rng.choice("ab") for _ in range(rng.randint(6, 40))) for _ in range(24)}
+    keys |= {k + "a" for k in keys}
+    tables = [spark.createDataFrame([(len(k), k) for k in sorted(keys)], "n int, key string") for _ in range(sides)]
+    lengths = sorted((n, sides * sum(len(k) == n for k in keys)) for n in {len(k) for k in keys})
+    places, pairs = D._tiling(lengths, 85, sides == 2)
+    near = D._near_keys(tables[0], tables[-1], 85)
+    assert near.rdd.getNumPartitions() == len(pairs)
+    first = {n: f for n, f, _ in places}
+    found: dict[int, set] = {}
+    for r in near.withColumn("task", F.spark_partition_id()).collect():
+        found.setdefault(r.task, set()).add(tuple(sorted((first[len(r.left_key)], first[len(r.right_key)]))))
+    assert len(found) > 5 and all(len(x) == 1 for x in found.values())
+    assert D._tiling([(10, 1), (30, 1), (100, 3)], 85, False)[1] == [(0, 1, 1), (1, 0, 0)]
