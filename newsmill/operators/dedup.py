@@ -116,7 +116,7 @@ def dedup_against_history(candidates: DataFrame, history: DataFrame, known_urls:
     The best match is the most similar title, of equals the smallest id.
     """
     c = candidates.withColumn("_key", key)
-    h = history.withColumn("_hkey", history_key).groupBy("_hkey").agg(F.min("match_id").alias("match_id"))
+    h = cut_lineage(history.withColumn("_hkey", history_key).groupBy("_hkey").agg(F.min("match_id").alias("match_id")))  # used twice
     pairs = similar_keys(c.select("_key"), h.select("_hkey")).join(h, F.col("right_key") == F.col("_hkey"))
     best = pairs.groupBy(F.col("left_key").alias("_key")).agg(F.max_by(F.struct("match_id", "similarity"), F.struct("similarity", -F.col("match_id"))).alias("_best"))
     known = known_urls.select(F.col(known_urls.columns[0]).alias(url)).distinct().withColumn("_known", F.lit(True))

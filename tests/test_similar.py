@@ -150,3 +150,11 @@ def test_each_pair_of_tiles_is_a_task_of_its_own_and_the_longest_come_first(spar
         found.setdefault(r.task, set()).add(tuple(sorted((first[len(r.left_key)], first[len(r.right_key)]))))
     assert len(found) > 5 and all(len(x) == 1 for x in found.values())
     assert D._tiling([(10, 1), (30, 1), (100, 3)], 85, False)[1] == [(0, 1, 1), (1, 0, 0)]
+
+
+def test_the_history_is_read_once(spark, tmp_path):
+    spark.range(20).selectExpr("id as match_id", "concat('a title of number ', id) as t").write.parquet(str(tmp_path / "past"))
+    new = spark.createDataFrame([(1, "u", "a title of number 77")], "id long, url string, title string")
+    out = D.dedup_against_history(new, spark.read.parquet(str(tmp_path / "past")), spark.createDataFrame([("v",)], "url string"), F.col("title"), F.col("t"))
+    assert str(tmp_path) not in out._jdf.queryExecution().toString()
+    assert out.first().reason == "semantic-title"
